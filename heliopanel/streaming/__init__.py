@@ -1,0 +1 @@
+"""Intentionally empty: all supported inputs are finite files, so nothing streams."""

@@ -47,10 +47,14 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def union_with_origin(parts: dict[str, DataFrame]) -> DataFrame:
-    """Stack tables on their common columns and mark where each row came from."""
+    """Stack tables on their common columns and mark where each row came from.
+
+    `origin` is the given name, `origin_ord` its place, for use as a tie-break.
+    """
     tables = list(parts.values())
     common = [c for c in tables[0].columns if all(c in t.columns for t in tables)]
-    return union_all([t.select(*common, F.lit(name).alias("origin")) for name, t in parts.items()])
+    return union_all([t.select(*common, F.lit(name).alias("origin"), F.lit(i).alias("origin_ord"))
+                      for i, (name, t) in enumerate(parts.items())])
 
 
 def max_time(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +23,7 @@ def with_constant_default(df: DataFrame, column: str, value: str) -> DataFrame:
 
 def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     """Base name of the file a row came from, with brackets and blanks decoded."""
-    raw = F.regexp_replace(F.col("_metadata.file_name"), r"\+", quote("+"))
-    return df.withColumn(name, F.url_decode(raw))
+    return df.withColumn(name, F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliopanel.constants import EARTH_RADIUS_KM
 from heliopanel.functions.geo import haversine
 from heliopanel.functions.text import boundary_region_name, strip
 from heliopanel.functions.timefx import floor_hour
@@ -101,46 +102,43 @@ def nearest_station(sites: DataFrame, stations: DataFrame, key: str = "site",
         return (sites.withColumn("_best", best)
                 .select(*sites.columns, "_best.station", "_best.station_name", "_best.distance"))
 
+    blocks = -(-total // inline_stations)
+    block = F.pmod(F.xxhash64("ord", "station"), F.lit(blocks)).alias("block")
     places = sites.select("lat", "lon").na.drop().distinct()
-    near = _nearest_in_cells(places, stations)
-    certain = near.filter(F.col("distance") < F.col("safe")).select("lat", "lon", "best")
+    near = _nearest_in_cells(places, stations.select("*", block), entry)
+    certain = near.filter(F.col("best.distance") < F.col("safe")).select("lat", "lon", "best")
     open_places = places.join(certain.select("lat", "lon"), ["lat", "lon"], "left_anti")
-    blocks = -(-total // inline_stations)
-    packed = (stations.withColumn("block", F.pmod(F.xxhash64("ord", "station"), F.lit(blocks)))
-              .groupBy("block").agg(F.collect_list(entry).alias("_stations")))
-    compared = (open_places.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-                .withColumn("block", F.col("block").cast("long"))
-                .join(packed, "block")
-                .withColumn("_near", _nearest_of(F.col("_stations")))
+    packed = stations.select("*", block).groupBy("block").agg(F.collect_list(entry).alias("_stations"))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")
+    compared = (open_places.select("lat", "lon", every_block).join(packed, "block")
+                .select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
                 .groupBy("lat", "lon").agg(F.min("_near").alias("best")))
     found = certain.unionByName(compared)
     return (sites.join(found, ["lat", "lon"], "left")
             .select(*sites.columns, "best.station", "best.station_name", "best.distance"))
 
 
-def _nearest_in_cells(places: DataFrame, stations: DataFrame) -> DataFrame:
+def _nearest_in_cells(places: DataFrame, stations: DataFrame, entry: Column) -> DataFrame:
     """Best station within the 3x3 cells around each place, and the distance it is certain up to.
 
     Whatever lies outside the nine cells is at least one cell width away in latitude or
-    longitude; `safe` is the shorter of the two distances in kilometres.
+    longitude; `safe` is the shorter of the two distances in kilometres. Stations travel as
+    one array per cell and block, so a place meets few rows even in a crowded cell.
     """
     wrap = int(360 / CELL_DEGREES)
 
-    def cell(lat: Column, lon: Column, dy: Column, dx: Column) -> list[Column]:
-        row = F.floor(lat / CELL_DEGREES) + dy
-        column = F.pmod(F.floor(lon / CELL_DEGREES) + dx, F.lit(wrap))
+    def cell(dy: Column, dx: Column) -> list[Column]:
+        row = F.floor(F.col("lat") / CELL_DEGREES) + dy
+        column = F.pmod(F.floor(F.col("lon") / CELL_DEGREES) + dx, F.lit(wrap))
         return [row.cast("long").alias("_row"), column.cast("long").alias("_column")]
 
-    zero = F.lit(0)
-    rated = stations.select("station", "station_name", "ord", F.col("lat").alias("s_lat"),
-                            F.col("lon").alias("s_lon"),
-                            *cell(F.col("lat"), F.col("lon"), zero, zero))
+    packed = (stations.select("*", *cell(F.lit(0), F.lit(0)))
+              .groupBy("_row", "_column", "block").agg(F.collect_list(entry).alias("_stations")))
     around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
     probes = (places.withColumn("_d", F.explode(around))
-              .select("lat", "lon", *cell(F.col("lat"), F.col("lon"), F.col("_d.y"), F.col("_d.x"))))
-    distance = haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    best = F.struct(distance.alias("distance"), F.col("ord"), F.col("station"), F.col("station_name"))
-    reach = F.asin(F.sin(F.radians(F.lit(CELL_DEGREES))) * F.cos(F.radians("lat"))) * F.lit(6371.0 * (1 - 1e-9))
-    return (probes.join(rated, ["_row", "_column"])
-            .groupBy("lat", "lon").agg(F.min(best).alias("best"))
-            .select("lat", "lon", "best", F.col("best.distance").alias("distance"), reach.alias("safe")))
+              .select("lat", "lon", *cell(F.col("_d.y"), F.col("_d.x"))))
+    width = F.asin(F.sin(F.radians(F.lit(CELL_DEGREES))) * F.cos(F.radians("lat")))
+    return (probes.join(packed, ["_row", "_column"])
+            .select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
+            .groupBy("lat", "lon").agg(F.min("_near").alias("best"))
+            .withColumn("safe", width * F.lit(EARTH_RADIUS_KM * (1 - 1e-9))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heliopanel import constants as K
+from heliopanel.functions.scale import from_units, to_units
 
 
 def strip(c: Column) -> Column:
@@ -132,7 +133,7 @@ def convert_to_mwh(value: Column, unit: Column) -> Column:
     divisor = F.lit(1.0)
     for name, by in K.UNIT_DIVISORS.items():
         divisor = F.when(unit == name, F.lit(by)).otherwise(divisor)
-    return F.round(number / divisor, K.MWH_SCALE)
+    return from_units(to_units(number / divisor, K.MWH_SCALE), K.MWH_SCALE)
 
 
 def format_fixed4(c: Column) -> Column:

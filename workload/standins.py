@@ -128,8 +128,7 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliopanel.constants import BOUNDARY_NAMES
 
     names = [*BOUNDARY_NAMES, "Dokdo"]
-    return (read(spark, sf_dir, "nation").filter(F.col("n_nationkey") < len(names))
-            .select(pick(names, F.col("n_nationkey")).alias("name")))
+    return read(spark, sf_dir, "nation").select(pick(names, F.col("n_nationkey") % len(names)).alias("name")).distinct()
 
 
 def wide_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +179,7 @@ SQL = {
         SELECT c_name AS generator, {sql_list(REGIONS)}[c_nationkey + 1] AS region_raw,
                c_mktsegment AS subregion, c_acctbal AS capacity, c_custkey, c_nationkey FROM customer)""",
     "boundaries": f"""boundaries AS (
-        SELECT {sql_list(_names())}[n_nationkey + 1] AS name FROM nation
-        WHERE n_nationkey < {len(_names())})""",
+        SELECT DISTINCT {sql_list(_names())}[n_nationkey % {len(_names())} + 1] AS name FROM nation)""",
     "wide": """wide AS (
         SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS linenumber, l_shipdate AS day,
                l_suppkey AS suppkey, """ + ", ".join(f'{c} AS "{label}"' for label, c in HOUR_LABELS.items()) + """

@@ -14,4 +14,4 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin((phi2 - phi1) / 2)
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = half_lat * half_lat + F.cos(phi1) * F.cos(phi2) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))

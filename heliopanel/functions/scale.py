@@ -40,11 +40,11 @@ def clip(c: Column, low: Column | float, high: Column | float) -> Column:
 
 
 def log_target(c: Column) -> Column:
-    return F.log1p(F.greatest(c, F.lit(0.0)))
+    return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))
 
 
 def inverse_log_target(c: Column) -> Column:
-    return F.greatest(F.expm1(c), F.lit(0.0))
+    return F.when(c.isNotNull(), F.greatest(F.expm1(c), F.lit(0.0)))
 
 
 def standardize(c: Column, mean: Column, std: Column, epsilon: float = 1e-6) -> Column:

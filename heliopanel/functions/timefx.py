@@ -91,8 +91,8 @@ def week_index(ts: Column, first: Column) -> Column:
 
 def month_ranges(spark: SparkSession, years: list[int]) -> DataFrame:
     """First and last day of every month of the years, also as yyyyMMdd text."""
-    year = spark.createDataFrame([(y,) for y in years], "year int")
-    return year.select("year", month_range_array(F.col("year")).alias("m")).select("year", F.inline("m"))
+    year = spark.range(1).select(F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+    return year.select("year", F.inline(month_range_array(F.col("year"))))
 
 
 def month_range_array(year: Column) -> Column:

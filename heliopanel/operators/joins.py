@@ -98,8 +98,8 @@ def nearest_station(sites: DataFrame, stations: DataFrame, key: str = "site",
     entry = F.struct("lat", "lon", "ord", "station", "station_name")
     if total <= inline_stations:
         everything = stations.agg(F.collect_list(entry).alias("all")).scalar()
-        best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), _nearest_of(everything))
-        return (sites.withColumn("_best", best)
+        best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), _nearest_of(F.col("_all")))
+        return (sites.withColumn("_all", everything).withColumn("_best", best)
                 .select(*sites.columns, "_best.station", "_best.station_name", "_best.distance"))
 
     blocks = -(-total // inline_stations)

@@ -26,8 +26,8 @@ Feature = Callable[[WindowSpec], Column]
 class Panel:
     """Rows with `pos` (0-based position in their series) and `n` (rows of the series).
 
-    The order is `ts`, then `tiebreak`. Rows with a null in a key belong to no series:
-    their position and features are null, and they are spread over partitions by content.
+    The order is `ts`, then `tiebreak`. Rows with a null in a key belong to no series: their
+    position is null and each forms a chunk of its own, so its features see no other row.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], ts: str = "ts",
@@ -39,6 +39,7 @@ class Panel:
         self.rows = self._locate(df)
 
     def _spread(self) -> Column:
+        """Parts for the rows without a series, by content."""
         return -1 - F.pmod(F.xxhash64(*self.order), F.lit(NULL_KEY_PARTS)).cast("int")
 
     def _locate(self, df: DataFrame) -> DataFrame:
@@ -64,7 +65,8 @@ class Panel:
     def chunks(self, before: int = 0, after: int = 0) -> tuple[DataFrame, int]:
         """Rows with `_chunk` and `_home`, plus copies for the chunks whose frames reach them."""
         size = max(self.chunk_rows, before, after)
-        home = F.coalesce(F.floor(F.col("pos") / size).cast("long"), self._spread().cast("long"))
+        alone = -1 - F.monotonically_increasing_id()
+        home = F.coalesce(F.floor(F.col("pos") / size).cast("long"), alone)
         offset = F.col("pos") % size
         parts = [F.col("_home")]
         if before:
@@ -88,7 +90,6 @@ class Panel:
         """
         chunked, _ = self.chunks(before, after)
         window = Window.partitionBy(*self.keys, "_chunk").orderBy("pos")
-        known = F.col("pos").isNotNull()
         base = chunked.columns
         frame = chunked.select("*", *[c.alias(name) for name, c in (prepare or {}).items()])
         frame = frame.select("*", *[f(window).alias(name) for name, f in features.items()])
@@ -98,7 +99,7 @@ class Panel:
                  if not name.startswith("_")]
         kept = [c for c in base if c not in ("_home", "_chunk")]
         return (frame.filter(F.col("_chunk") == F.col("_home"))
-                .select(*kept, *[F.when(known, F.col(name)).alias(name) for name in added]))
+                .select(*kept, *added))
 
 
 def lags(target: str, steps: Sequence[int]) -> dict[str, Feature]:

@@ -55,7 +55,7 @@ def train_boosted(train: DataFrame, test: DataFrame, target: str = "mwh", keys:
     fit_rows, check_rows = X.split_last_days(train_rows, validation_days)
     complete = X.history_complete_filter(lag_max)
     fit_rows, check_rows = fit_rows.filter(complete), check_rows.filter(complete)
-    numeric = feature_columns(lag_max, windows, exogenous)
+    numeric = [c for c in feature_columns(lag_max, windows, exogenous) if c not in categorical]
     model = M.fit_model(fit_rows, numeric, categorical, M.boosted_trees(target, **tree_options))
     keep = ["ts", *keys, F.col(target).alias("y_true")]
     checked = M.predict(model, check_rows, keep)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     # One time zone, so time stamps without a zone never shift.
@@ -28,6 +30,15 @@ def build_session(app_name: str = "heliopanel", master: str | None = None,
     return builder.getOrCreate()
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of driver values, without starting Python workers."""
+    fields = StructType.fromDDL(schema).fields
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives lost executors.
 

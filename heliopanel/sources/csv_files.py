@@ -20,6 +20,7 @@ from heliopanel.functions.timefx import hour_to_timestamp, parse_mixed_ts, strip
 from heliopanel.operators.aggregates import union_all
 from heliopanel.operators.filters import with_source_file
 from heliopanel.operators.reshape import melt_hours
+from heliopanel.session import literal_rows
 
 SNIFF_BYTES = 2048
 KOREAN = "MS949"
@@ -141,7 +142,7 @@ def read_headers(spark: SparkSession, tables: list[list[str]]) -> list[Header]:
         "meter_date": _contains_any(name, K.METER_DATE_TOKENS),
         "meter_unit_no": _contains_any(name, K.METER_UNIT_NO_TOKENS),
     }
-    rows = (spark.createDataFrame(names, "g int, i int, name string")
+    rows = (literal_rows(spark, names, "g int, i int, name string")
             .select("g", "i", "name", T.extract_hour(name).alias("hour"), T.detect_unit(name).alias("unit"),
                     *[t.alias(k) for k, t in tests.items()])
             .orderBy("g", "i").collect())
@@ -192,7 +193,7 @@ def location_rows(df: DataFrame, header: Header) -> DataFrame:
 
 
 def _rejects(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, schemas.REJECTS)
+    return literal_rows(spark, rows, schemas.REJECTS)
 
 
 def _read_harmonised(spark: SparkSession, folder: str, needs: dict[str, str], convert) -> tuple[DataFrame | None, DataFrame]:

@@ -268,9 +268,9 @@ def canonical_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT generator, CASE WHEN c_custkey % 5 = 0 THEN NULL
         ELSE '  ' || region_raw || '   ' || subregion || ' ' || region_raw END AS raw FROM registry)
 SELECT generator, coalesce(regexp_replace(trim(raw), '\\s+', ' ', 'g'), '') AS collapsed,
-       coalesce(regexp_replace(trim(raw), '^(\\s*(%s))+\\s*', ''), '') AS stripped,
+       coalesce(regexp_replace(trim(raw), '^(\\s*(PREFIXES))+\\s*', ''), '') AS stripped,
        lower(regexp_replace(trim(raw), '[\\s\\-_/()\\[\\].]+', '', 'g')) AS plain
-FROM texts""" % "|".join(sorted(K.REGION_PREFIXES, key=lambda r: (-len(r), r))), "registry")
+FROM texts""".replace("PREFIXES", "|".join(sorted(K.REGION_PREFIXES, key=lambda r: (-len(r), r)))), "registry")
 def subregion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("  "), "region", F.lit("   "), "subregion", F.lit(" "), "region"))
     return S.registry(spark, sf_dir).select(

@@ -129,7 +129,7 @@ def to_number(c: Column) -> Column:
 
 def convert_to_mwh(value: Column, unit: Column) -> Column:
     """Megawatt hours rounded to 4 places; text that is no number gives 0."""
-    number = F.coalesce(to_number(value.cast("string")), F.lit(0.0))
+    number = F.coalesce(to_number(value), F.lit(0.0))
     divisor = F.lit(1.0)
     for name, by in K.UNIT_DIVISORS.items():
         divisor = F.when(unit == name, F.lit(by)).otherwise(divisor)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-DIRECT_ROWS = 1_000_000
 BAND_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+MARGIN = 4.0 / SKETCH_ACCURACY
 
 
 def _value(column: str) -> Column:
@@ -21,56 +21,48 @@ def _value(column: str) -> Column:
 
 @dataclass
 class _Rank:
-    """One wanted order statistic and the open interval it is known to lie in."""
+    """One wanted order statistic and the closed interval that is searched for it.
+
+    `below` counts the values under `low`; `inside` bounds the values strictly between.
+    """
 
     column: str
     rank: int
-    inside: int
-    below: int = 0
-    low: float = -math.inf
-    high: float = math.inf
+    low: float
+    high: float
+    inside: float
+    below: int | None = None
+    margin: float = MARGIN
     value: float | None = None
 
-    @property
-    def wide(self) -> bool:
-        return self.value is None and self.inside > BAND_ROWS
-
-    def inner(self) -> Column:
-        v = _value(self.column)
-        if self.low == -math.inf and self.high == math.inf:
-            return v
-        return F.when((v > F.lit(self.low)) & (v < F.lit(self.high)), v)
-
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]],
-                    direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
+                    band_rows: int = BAND_ROWS) -> dict[str, float | None]:
     """Linearly interpolated quantiles {name: (column, q)}; null and NaN are ignored.
 
-    Up to `direct_rows` values per column the built-in exact aggregate is used. Beyond
-    that, its buffer would hold every distinct value of the table, so a sketch brackets
-    each wanted rank, exact counts confirm the bracket, and only the few values inside it
-    are sorted. Each round is one aggregate over all columns with a fixed-size result.
+    The built-in exact aggregate buffers every distinct value of the table. Here a sketch
+    brackets each wanted rank and a second pass counts the values inside the brackets, so a
+    result takes two passes over all columns together. Brackets that would still hold more
+    than `band_rows` values are narrowed first, and a bracket that missed its rank is widened.
     """
-    columns = sorted({column for column, _ in wanted.values()})
-    if not columns:
+    if not wanted:
         return {}
-    counted = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    rows = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
-    if max(rows.values()) <= direct_rows:
-        names = list(wanted)
-        found = df.agg(*[
-            F.percentile(_value(wanted[name][0]), F.lit(float(wanted[name][1]))).alias(f"q{i}")
-            for i, name in enumerate(names)
-        ]).first()
-        return {name: found[f"q{i}"] for i, name in enumerate(names)}
+    names = list(wanted)
+    columns = sorted({column for column, _ in wanted.values()})
+    counts = [F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    brackets = [F.percentile_approx(_value(wanted[name][0]), _around(wanted[name][1], MARGIN),
+                                    SKETCH_ACCURACY).alias(f"s{i}") for i, name in enumerate(names)]
+    first = df.agg(*counts, *brackets).first()
+    rows = {c: first[f"n{i}"] for i, c in enumerate(columns)}
 
     ranks: dict[tuple[str, int], _Rank] = {}
-    for column, q in wanted.values():
-        position = q * (rows[column] - 1)
-        for k in (math.floor(position), math.ceil(position)):
-            if rows[column]:
-                ranks[column, k] = _Rank(column, k, rows[column])
-    _select_ranks(df, list(ranks.values()))
+    for i, name in enumerate(names):
+        column, q = wanted[name]
+        if rows[column]:
+            low, high = first[f"s{i}"]
+            for k in _neighbours(q, rows[column]):
+                ranks[column, k] = _Rank(column, k, low, high, rows[column] * 4 * MARGIN)
+    _select(df, rows, list(ranks.values()), band_rows)
 
     result: dict[str, float | None] = {}
     for name, (column, q) in wanted.items():
@@ -78,70 +70,107 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]],
             result[name] = None
             continue
         position = q * (rows[column] - 1)
-        lower, upper = math.floor(position), math.ceil(position)
+        lower, upper = _neighbours(q, rows[column])
         low, high = ranks[column, lower].value, ranks[column, upper].value
         result[name] = low if lower == upper else (upper - position) * low + (position - lower) * high
     return result
 
 
-def _select_ranks(df: DataFrame, ranks: list[_Rank]) -> None:
-    margin = 4.0 / SKETCH_ACCURACY
-    while any(r.wide for r in ranks):
-        wide = [r for r in ranks if r.wide]
-        sketches = []
-        for i, r in enumerate(wide):
-            share = (r.rank - r.below) / max(1, r.inside - 1)
-            bounds = [max(0.0, share - margin), min(1.0, share + margin)]
-            sketches.append(F.percentile_approx(r.inner(), bounds, SKETCH_ACCURACY).alias(f"s{i}"))
-        sketch = df.agg(*sketches).first()
-        counts = []
-        for i, r in enumerate(wide):
-            low, high = sketch[f"s{i}"]
-            v = r.inner()
-            counts += [F.count_if(v < low).alias(f"b{i}"), F.count_if(v == low).alias(f"l{i}"),
-                       F.count_if((v > low) & (v < high)).alias(f"m{i}"),
-                       F.count_if(v == high).alias(f"h{i}")]
-        seen = df.agg(*counts).first()
-        missed = False
-        for i, r in enumerate(wide):
-            low, high = sketch[f"s{i}"]
-            offset = r.rank - r.below - seen[f"b{i}"]
-            at_low, middle = seen[f"l{i}"], seen[f"m{i}"]
-            at_high = seen[f"h{i}"] if high > low else 0
-            if offset < 0 or offset >= at_low + middle + at_high:
-                missed = True
-            elif offset < at_low:
-                r.value = low
-            elif offset >= at_low + middle:
-                r.value = high
-            else:
-                r.below += seen[f"b{i}"] + at_low
-                r.inside, r.low, r.high = middle, low, high
-        margin = min(1.0, margin * 4) if missed else margin
-
-    pending = [r for r in ranks if r.value is None]
-    if not pending:
+def _around(share: float, margin: float) -> list[float]:
+    return [max(0.0, share - margin), min(1.0, share + margin)]
+
+
+def _neighbours(q: float, rows: int) -> tuple[int, int]:
+    position = q * (rows - 1)
+    return math.floor(position), math.ceil(position)
+
+
+def _select(df: DataFrame, rows: dict[str, int], ranks: list[_Rank], band_rows: int) -> None:
+    """Find the value of every rank, narrowing or widening brackets until each one is settled."""
+    while pending := [r for r in ranks if r.value is None]:
+        wide = [r for r in pending if r.inside > band_rows]
+        if wide:
+            _narrow(df, wide)
+            continue
+        missed = _read_brackets(df, pending)
+        if missed:
+            for r in missed:
+                r.margin = min(1.0, r.margin * 8)
+            again = df.agg(*[
+                F.percentile_approx(_value(r.column), _around(r.rank / max(1, rows[r.column] - 1), r.margin),
+                                    SKETCH_ACCURACY).alias(f"s{i}") for i, r in enumerate(missed)]).first()
+            for i, r in enumerate(missed):
+                r.low, r.high = again[f"s{i}"]
+                r.inside, r.below = rows[r.column] * 4 * r.margin, None
+
+
+def _narrow(df: DataFrame, wide: list[_Rank]) -> None:
+    """Count each bracket exactly and sketch a shorter one inside it, in one pass."""
+    aggregates = []
+    for i, r in enumerate(wide):
+        v = _value(r.column)
+        aggregates += [F.count_if(v < r.low).alias(f"b{i}"), F.count_if(v == r.low).alias(f"l{i}"),
+                       F.count_if((v > r.low) & (v < r.high)).alias(f"m{i}"),
+                       F.count_if((v == r.high) & (v > r.low)).alias(f"h{i}")]
+    seen = df.agg(*aggregates).first()
+    sketched = []
+    for i, r in enumerate(wide):
+        r.below = seen[f"b{i}"]
+        offset = r.rank - r.below
+        at_low, middle, at_high = seen[f"l{i}"], seen[f"m{i}"], seen[f"h{i}"]
+        r.inside = middle
+        if offset < 0 or offset >= at_low + middle + at_high:
+            r.inside = 0.0  # not bracketed: reading the bracket reports the miss
+            r.low, r.high = math.inf, -math.inf
+        elif offset < at_low:
+            r.value = r.low
+        elif offset >= at_low + middle:
+            r.value = r.high
+        elif middle > 0:
+            sketched.append((r, (offset - at_low) / max(1, middle - 1)))
+    if not sketched:
         return
+    inner = [F.when((_value(r.column) > r.low) & (_value(r.column) < r.high), _value(r.column)) for r, _ in sketched]
+    bounds = df.agg(*[F.percentile_approx(v, _around(share, _inner(r)), SKETCH_ACCURACY).alias(f"s{i}")
+                      for i, (v, (r, share)) in enumerate(zip(inner, sketched))]).first()
+    for i, (r, _) in enumerate(sketched):
+        r.low, r.high = bounds[f"s{i}"]
+        r.inside *= 4 * _inner(r)
+
+
+def _inner(r: _Rank) -> float:
+    """Margin inside a bracket: short enough to make progress."""
+    return min(r.margin, 0.2)
+
+
+def _read_brackets(df: DataFrame, pending: list[_Rank]) -> list[_Rank]:
+    """Settle the ranks whose brackets are short; returns those whose bracket missed.
+
+    Values under a bracket share one counter, values above it are dropped, and both happen
+    before the shuffle.
+    """
     cells = F.array_compact(F.array(*[
-        F.when(r.inner().isNotNull(), F.struct(F.lit(i).alias("i"), r.inner().alias("v")))
+        F.when(_value(r.column) <= r.high, F.struct(
+            F.lit(i).alias("i"), F.when(_value(r.column) >= r.low, _value(r.column)).alias("v")))
         for i, r in enumerate(pending)
     ]))
     counted = df.select(F.inline(cells)).groupBy("i", "v").agg(F.count("*").alias("c"))
-    # At most BAND_ROWS values per rank reach this window.
-    upto = F.sum("c").over(Window.partitionBy("i").orderBy("v"))
-    goal = F.element_at(F.array(*[F.lit(r.rank - r.below) for r in pending]), F.col("i") + 1)
-    found = (counted.select("i", "v", upto.alias("upto"))
-             .filter(F.col("upto") > goal).groupBy("i").agg(F.min("v").alias("v")))
-    for row in found.collect():
-        pending[row["i"]].value = row["v"]
+    upto = F.sum("c").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("v")))
+    goal = F.element_at(F.array(*[F.lit(r.rank) for r in pending]), F.col("i") + 1)
+    found = (counted.select("i", "v", upto.alias("upto")).filter(F.col("upto") > goal)
+             .groupBy("i").agg(F.min_by("v", "upto").alias("v")).collect())
+    values = {row["i"]: row["v"] for row in found}
+    for i, r in enumerate(pending):
+        r.value = values.get(i)
+    return [r for r in pending if r.value is None]
 
 
-def exact_quantile(df: DataFrame, column: str, q: float, direct_rows: int = DIRECT_ROWS) -> float | None:
-    return exact_quantiles(df, {"q": (column, q)}, direct_rows)["q"]
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    return exact_quantiles(df, {"q": (column, q)})["q"]
 
 
-def exact_medians(df: DataFrame, columns: list[str], direct_rows: int = DIRECT_ROWS) -> dict[str, float | None]:
-    return exact_quantiles(df, {c: (c, 0.5) for c in columns}, direct_rows)
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return exact_quantiles(df, {c: (c, 0.5) for c in columns})
 
 
 def most_frequent(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:

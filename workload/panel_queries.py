@@ -344,7 +344,7 @@ limits AS (SELECT quantile_cont(abs_err, 0.99) AS threshold FROM errors)"""
 SELECT plant, ts, round(resid, 6) AS resid, round(threshold, 6) AS threshold, abs_err >= threshold AS is_outlier
 FROM errors, limits""", "gen", "panel", "persist", "errors")
 def outliers_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = E.with_residual(persistence(spark, sf_dir).na.drop(subset=["y_pred"]))
+    errors = E.with_residual(persistence(spark, sf_dir).na.drop(subset=["y_pred"])).persist()
     return E.top_p_outliers(errors).select("plant", "ts", rounded("resid", 6).alias("resid"),
                                            rounded("threshold", 6).alias("threshold"), "is_outlier")
 
@@ -352,7 +352,7 @@ def outliers_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE abs_err >= threshold) AS outliers FROM errors, limits""",
        "gen", "panel", "persist", "errors")
 def count_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = E.with_residual(persistence(spark, sf_dir).na.drop(subset=["y_pred"]))
+    errors = E.with_residual(persistence(spark, sf_dir).na.drop(subset=["y_pred"])).persist()
     return E.count_outliers(E.top_p_outliers(errors))
 
 

@@ -21,9 +21,14 @@ def with_constant_default(df: DataFrame, column: str, value: str) -> DataFrame:
     return df if column in df.columns else df.withColumn(column, F.lit(value))
 
 
+def decoded_path(c: Column) -> Column:
+    """Path or file name as it is on disk; the metadata columns give it URL-encoded."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
     """Base name of the file a row came from, with brackets and blanks decoded."""
-    return df.withColumn(name, F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
+    return df.withColumn(name, decoded_path(F.col("_metadata.file_name")))
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def nearest_station(sites: DataFrame, stations: DataFrame, key: str = "site",
     certain = near.filter(F.col("best.distance") < F.col("safe")).select("lat", "lon", "best")
     open_places = places.join(certain.select("lat", "lon"), ["lat", "lon"], "left_anti")
     packed = stations.select("*", block).groupBy("block").agg(F.collect_list(entry).alias("_stations"))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     compared = (open_places.select("lat", "lon", every_block).join(packed, "block")
                 .select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
                 .groupBy("lat", "lon").agg(F.min("_near").alias("best")))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 SETTINGS = {
@@ -31,12 +32,12 @@ def build_session(app_name: str = "heliopanel", master: str | None = None,
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of driver values, without starting Python workers."""
-    fields = StructType.fromDDL(schema).fields
-    if not rows:
-        return spark.createDataFrame([], schema)
-    cells = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*cells)))
+    """A small table of driver values, handed over as one Arrow table."""
+    fields = StructType.fromDDL(schema)
+    names = fields.fieldNames()
+    types = [to_arrow_type(f.dataType) for f in fields]
+    columns = [pa.array([row[i] for row in rows], type=t) for i, t in enumerate(types)]
+    return spark.createDataFrame(pa.table(columns, names=names), fields)
 
 
 def durable(df: DataFrame) -> DataFrame:

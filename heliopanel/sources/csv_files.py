@@ -7,6 +7,7 @@ form a group, and a group is read with a single multi-path scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,7 @@ from heliopanel import schemas
 from heliopanel.functions import text as T
 from heliopanel.functions.timefx import hour_to_timestamp, parse_mixed_ts, strip_digits_date
 from heliopanel.operators.aggregates import union_all
-from heliopanel.operators.filters import with_source_file
+from heliopanel.operators.filters import decoded_path, with_source_file
 from heliopanel.operators.reshape import melt_hours
 from heliopanel.session import literal_rows
 
@@ -66,7 +67,7 @@ def file_heads(spark: SparkSession, folder: str, pattern: str = "*.csv", recursi
     """path, encoding, delimiter and header line of each file."""
     allow_korean_charset(spark)
     lines = (spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder)
-             .select("value", F.col("_metadata.file_path").alias("path"),
+             .select("value", decoded_path(F.col("_metadata.file_path")).alias("path"),
                      F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line")))
     encodings = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
@@ -92,11 +93,16 @@ def header_groups(heads: DataFrame) -> list[HeaderGroup]:
     return [HeaderGroup(r["encoding"], r["delimiter"], tuple(r["paths"])) for r in grouped.collect()]
 
 
+def _literal_path(path: str) -> str:
+    """Path whose brackets and other pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?])", r"\\\1", path)
+
+
 def read_group(spark: SparkSession, group: HeaderGroup, delimiter: str | None = None) -> DataFrame:
     """All columns as text, plus source_file and row_ord (order of the rows in their file)."""
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("sep", delimiter or group.delimiter).option("encoding", group.encoding)
-          .csv(list(group.paths)))
+          .csv([_literal_path(p) for p in group.paths]))
     names = df.columns
     order = F.struct(F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line"))
@@ -123,10 +129,7 @@ class Header:
 
 
 def _contains_any(c: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | c.contains(word)
-    return found
+    return c.rlike("|".join(words))
 
 
 def read_headers(spark: SparkSession, tables: list[list[str]]) -> list[Header]:

@@ -244,7 +244,7 @@ def unit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")
     stacked = A.union_with_origin({"train": gen.filter(cut),
                                    "test": gen.filter(~cut).withColumn("mwh", F.col("mwh") / 10000.0)})
-    lagged = W.add_lags(W.Panel(stacked, ["plant"], tiebreak=["origin_ord"]), "mwh", [1])
+    lagged = W.add_lags(W.Panel(stacked, ["plant"], tiebreak=["origin_ord"]), "mwh", [1]).persist()
     train, test = X.split_by_origin(lagged)
     found = X.unit_factor(train, test)
     names = ["train_p95", "train_max", "test_p95", "test_max", "raw", "factor"]

@@ -15,7 +15,7 @@ from heliopanel.forecast import models as M
 from heliopanel.operators.aggregates import union_with_origin
 from heliopanel.operators.evaluate import regression_metrics
 from heliopanel.operators.filters import first_rows
-from heliopanel.operators.panel import Panel, history_tail, sequence_windows
+from heliopanel.operators.panel import Panel, add_lags, history_tail, sequence_windows
 
 CALENDAR = ["hour", "dayofweek", "month", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos"]
 
@@ -43,14 +43,16 @@ def train_boosted(train: DataFrame, test: DataFrame, target: str = "mwh", keys:
                   validation_days: int = K.VALIDATION_DAYS, **tree_options) -> BoostedRun:
     """Boosted trees on lags and rolling statistics.
 
-    Test rows see the train history, test units are repaired, the last days of train validate,
-    and gaps are filled from the remaining train rows.
+    The unit of test is repaired first, from test's own lags, so that truth, lags and rolling
+    statistics of test rows are on one scale even where they reach back into train. Then test
+    rows see the train history, the last days of train validate, and gaps are filled from the
+    remaining train rows.
     """
+    own_lag = add_lags(Panel(test, keys), target, [1])
+    factor = X.unit_factor(train, own_lag, target)
+    test = X.apply_unit_factor(test, [target], factor["factor"])
     table = X.stitched_features(train, test, target, keys, lag_max, windows).cache()
     train_rows, test_rows = X.split_by_origin(table)
-    factor = X.unit_factor(train_rows, test_rows, target)
-    test_rows = X.apply_unit_factor(test_rows, [target, *X.lag_names(lag_max), *X.roll_names(windows)],
-                                    factor["factor"])
     # The cutoff comes from all train rows, then rows without full history leave.
     fit_rows, check_rows = X.split_last_days(train_rows, validation_days)
     complete = X.history_complete_filter(lag_max)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from heliopanel import constants as K
 from heliopanel.functions.scale import clip, log_target, min_max_scale, standardize, zero_non_finite
 from heliopanel.functions.timefx import time_features
-from heliopanel.operators.aggregates import mean_popstd, mean_std_by_plant, min_max_fit, union_with_origin
+from heliopanel.operators.aggregates import mean_popstd_global, mean_std_by_plant, min_max_fit, union_train_test
 from heliopanel.operators.panel import Panel, add_rolls
-from heliopanel.operators.quantiles import exact_medians, exact_modes, exact_quantiles
+from heliopanel.operators.quantiles import median_impute_fit, mode_impute_fit, quantiles_exact
 
 KEYS = ["plant", "station_name", "station"]
 
@@ -43,7 +43,7 @@ def stitched_features(train: DataFrame, test: DataFrame, target: str = "mwh", ke
 
     `origin` tells the two apart afterwards.
     """
-    stacked = union_with_origin({"train": train, "test": test})
+    stacked = union_train_test({"train": train, "test": test})
     return panel_features(stacked, target, keys, ("origin_ord",), lag_max, windows).drop("origin_ord")
 
 
@@ -75,8 +75,8 @@ def split_last_days(df: DataFrame, days: int = K.VALIDATION_DAYS, ts: str = "ts"
 
 def unit_factor(train: DataFrame, test: DataFrame, target: str = "mwh", lag: str = "lag_1") -> dict[str, float | None]:
     """Factor between the units of train and test: its raw estimate and the nearest known factor."""
-    a = exact_quantiles(train, {"p95": (target, 0.95), "max": (target, 1.0)})
-    b = exact_quantiles(test, {"p95": (lag, 0.95), "max": (lag, 1.0), "target_max": (target, 1.0)})
+    a = quantiles_exact(train, {"p95": (target, 0.95), "max": (target, 1.0)})
+    b = quantiles_exact(test, {"p95": (lag, 0.95), "max": (lag, 1.0), "target_max": (target, 1.0)})
 
     def ratio(top: float | None, bottom: float | None) -> list[float]:
         return [top / bottom] if top is not None and bottom is not None and bottom > 0 else []
@@ -96,7 +96,7 @@ def apply_unit_factor(df: DataFrame, columns: Sequence[str], factor: float) -> D
 
 def imputation(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, float | str]:
     """Exact median of each numeric and most frequent value of each categorical column."""
-    fills: dict[str, float | str | None] = {**exact_medians(df, list(numeric)), **exact_modes(df, list(categorical))}
+    fills: dict[str, float | str | None] = {**median_impute_fit(df, list(numeric)), **mode_impute_fit(df, list(categorical))}
     return {c: v for c, v in fills.items() if v is not None}
 
 
@@ -107,13 +107,13 @@ def impute(df: DataFrame, fills: dict[str, float | str]) -> DataFrame:
 def clip_upper_quantile(df: DataFrame, columns: Sequence[str], q: float = 0.999) -> DataFrame:
     """Non-finite values to 0, then every column clipped to 0..its exact q quantile."""
     finite = df.withColumns({c: zero_non_finite(F.col(c)) for c in columns})
-    tops = exact_quantiles(finite, {c: (c, q) for c in columns})
+    tops = quantiles_exact(finite, {c: (c, q) for c in columns})
     return finite.withColumns({c: clip(F.col(c), 0.0, F.lit(tops[c]).cast("double")) for c in columns})
 
 
 def zscore_filter(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
     """Keep rows whose distance from the mean is below `limit` population deviations."""
-    fit = mean_popstd(df, column)
+    fit = mean_popstd_global(df, column)
     z = F.try_divide(F.col(column) - fit.getField("mean"), fit.getField("std"))
     return df.filter(F.abs(z) < limit)
 

@@ -43,7 +43,7 @@ def simplify_address(c: Column, provinces: list[str] | None = None) -> Column:
     return F.when(text == "", text).otherwise(F.array_join(F.slice(chosen, 1, 3), " "))
 
 
-def canonical_region(c: Column, anchored: bool = False) -> Column:
+def to_canonical(c: Column, anchored: bool = False) -> Column:
     """Canonical province of a free spelling; the first pattern found anywhere wins.
 
     `anchored` accepts a pattern only at the start, which keeps 경기도 광주시 in 경기도.
@@ -57,7 +57,7 @@ def canonical_region(c: Column, anchored: bool = False) -> Column:
     return result.otherwise(strip(c))
 
 
-def lookup(c: Column, mapping: dict[str, str]) -> Column:
+def map_region_name(c: Column, mapping: dict[str, str]) -> Column:
     """Replace exact values; anything else stays."""
     if not mapping:
         return c
@@ -66,18 +66,18 @@ def lookup(c: Column, mapping: dict[str, str]) -> Column:
 
 
 def display_region_name(c: Column) -> Column:
-    return lookup(c, K.DISPLAY_NAMES)
+    return map_region_name(c, K.DISPLAY_NAMES)
 
 
 def boundary_region_name(c: Column) -> Column:
-    return lookup(c, K.BOUNDARY_NAMES)
+    return map_region_name(c, K.BOUNDARY_NAMES)
 
 
 def normalize_subregion(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(strip(c), r"(?U)\s+", " "), F.lit(""))
 
 
-def strip_region_prefix(c: Column) -> Column:
+def strip_region_prefix_any(c: Column) -> Column:
     """Remove all leading canonical province names in one pass."""
     pattern = r"(?U)^(?:\s*" + any_of(K.REGION_PREFIXES) + r")+\s*"
     return F.coalesce(F.regexp_replace(strip(c), pattern, ""), F.lit(""))
@@ -121,7 +121,7 @@ def detect_unit(label: Column) -> Column:
     return result
 
 
-def to_number(c: Column) -> Column:
+def to_numeric_coerce(c: Column) -> Column:
     """Double, or null when the text is not a number; NaN counts as null."""
     value = c.try_cast("double")
     return F.when(~F.isnan(value), value)
@@ -129,7 +129,7 @@ def to_number(c: Column) -> Column:
 
 def convert_to_mwh(value: Column, unit: Column) -> Column:
     """Megawatt hours rounded to 4 places; text that is no number gives 0."""
-    number = F.coalesce(to_number(value), F.lit(0.0))
+    number = F.coalesce(to_numeric_coerce(value), F.lit(0.0))
     divisor = F.lit(1.0)
     for name, by in K.UNIT_DIVISORS.items():
         divisor = F.when(unit == name, F.lit(by)).otherwise(divisor)

@@ -46,7 +46,7 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def union_with_origin(parts: dict[str, DataFrame]) -> DataFrame:
+def union_train_test(parts: dict[str, DataFrame]) -> DataFrame:
     """Stack tables on their common columns and mark where each row came from.
 
     `origin` is the given name, `origin_ord` its place, for use as a tie-break.
@@ -75,6 +75,6 @@ def mean_std_by_plant(df: DataFrame, columns: Sequence[str], plant: str = "plant
     return df.groupBy(plant).agg(*stats)
 
 
-def mean_popstd(df: DataFrame, column: str) -> Column:
+def mean_popstd_global(df: DataFrame, column: str) -> Column:
     """Struct (mean, std) with the population deviation, as a scalar subquery."""
     return df.agg(F.struct(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std")).alias("fit")).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heliopanel.functions.scale import to_units
 from heliopanel.functions.timefx import at_midnight, week_index, week_start
-from heliopanel.operators.quantiles import exact_quantile
+from heliopanel.operators.quantiles import quantile_exact
 
 
 def metric_columns(truth: str = "y_true", prediction: str = "y_pred") -> list[Column]:
@@ -61,7 +61,7 @@ def with_residual(df: DataFrame, truth: str = "y_true", prediction: str = "y_pre
 
 def top_p_outliers(df: DataFrame, p: float = 0.01, error: str = "abs_err") -> DataFrame:
     """Flag rows whose absolute error reaches the exact (1 - p) quantile."""
-    threshold = exact_quantile(df, error, 1.0 - p)
+    threshold = quantile_exact(df, error, 1.0 - p)
     limit = F.lit(threshold).cast("double")
     return df.withColumns({"threshold": limit, "is_outlier": F.col(error) >= limit})
 

@@ -82,6 +82,16 @@ def require_nonempty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def sort_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Ascending order with nulls last."""
+    return df.orderBy(*[F.asc_nulls_last(c) for c in columns])
+
+
+def sort_by_count_desc(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Largest count first, ties by name."""
+    return df.orderBy(F.desc_nulls_last(count), F.asc_nulls_last(name))
+
+
 def first_rows(df: DataFrame, order: Sequence[str], rows: int = 10) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 

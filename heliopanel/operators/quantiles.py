@@ -36,7 +36,7 @@ class _Rank:
     value: float | None = None
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]],
+def quantiles_exact(df: DataFrame, wanted: dict[str, tuple[str, float]],
                     band_rows: int = BAND_ROWS) -> dict[str, float | None]:
     """Linearly interpolated quantiles {name: (column, q)}; null and NaN are ignored.
 
@@ -149,28 +149,33 @@ def _read_brackets(df: DataFrame, pending: list[_Rank]) -> list[_Rank]:
     Values under a bracket share one counter, values above it are dropped, and both happen
     before the shuffle.
     """
+    brackets: dict[tuple[str, float, float], list[_Rank]] = {}
+    for r in pending:
+        brackets.setdefault((r.column, r.low, r.high), []).append(r)
     cells = F.array_compact(F.array(*[
-        F.when(_value(r.column) <= r.high, F.struct(
-            F.lit(i).alias("i"), F.when(_value(r.column) >= r.low, _value(r.column)).alias("v")))
-        for i, r in enumerate(pending)
+        F.when(_value(c) <= high, F.struct(F.lit(i).alias("i"), F.when(_value(c) >= low, _value(c)).alias("v")))
+        for i, (c, low, high) in enumerate(brackets)
     ]))
+    goals = F.array(*[F.array(*[F.lit(r.rank) for r in ranks]) for ranks in brackets.values()])
     counted = df.select(F.inline(cells)).groupBy("i", "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("v")))
-    goal = F.element_at(F.array(*[F.lit(r.rank) for r in pending]), F.col("i") + 1)
-    found = (counted.select("i", "v", upto.alias("upto")).filter(F.col("upto") > goal)
-             .groupBy("i").agg(F.min_by("v", "upto").alias("v")).collect())
-    values = {row["i"]: row["v"] for row in found}
-    for i, r in enumerate(pending):
-        r.value = values.get(i)
+    found = (counted.select("i", "v", upto.alias("upto"))
+             .select("i", "v", "upto", F.explode(F.element_at(goals, F.col("i") + 1)).alias("goal"))
+             .filter(F.col("upto") > F.col("goal"))
+             .groupBy("i", "goal").agg(F.min_by("v", "upto").alias("v")).collect())
+    values = {(row["i"], row["goal"]): row["v"] for row in found}
+    for i, ranks in enumerate(brackets.values()):
+        for r in ranks:
+            r.value = values.get((i, r.rank))
     return [r for r in pending if r.value is None]
 
 
-def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    return exact_quantiles(df, {"q": (column, q)})["q"]
+def quantile_exact(df: DataFrame, column: str, q: float) -> float | None:
+    return quantiles_exact(df, {"q": (column, q)})["q"]
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    return exact_quantiles(df, {c: (c, 0.5) for c in columns})
+def median_impute_fit(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    return quantiles_exact(df, {c: (c, 0.5) for c in columns})
 
 
 def most_frequent(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
@@ -183,7 +188,7 @@ def most_frequent(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
     return counted.groupBy(*keys).agg(F.min_by(F.col(column), order).alias(name))
 
 
-def exact_modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+def mode_impute_fit(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     """Most frequent text value of each column, the smallest on ties."""
     if not columns:
         return {}
@@ -201,6 +206,6 @@ def scale_summary(df: DataFrame, column: str) -> DataFrame:
     from heliopanel.functions.scale import null_non_finite
 
     finite = df.select(null_non_finite(F.col(column)).alias("v"))
-    median = exact_quantile(finite, "v", 0.5)
+    median = quantile_exact(finite, "v", 0.5)
     return finite.agg(F.min("v").alias("min"), F.lit(median).cast("double").alias("q50"),
                       F.max("v").alias("max"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliopanel import constants as K
 from heliopanel.functions.scale import choropleth_alpha, exact_sum, marker_radius
-from heliopanel.functions.text import canonical_region, display_region_name, strip, to_number
+from heliopanel.functions.text import to_canonical, display_region_name, strip, to_numeric_coerce
 from heliopanel.operators.quantiles import most_frequent
 from heliopanel.session import durable
 
@@ -18,8 +18,8 @@ WINDOW_ROWS = 100_000
 def standardise_registry(registry: DataFrame, anchored: bool = False) -> DataFrame:
     """Registry with canonical region, trimmed subregion, address and numeric capacity."""
     return (registry
-            .withColumn("capacity", F.coalesce(to_number(F.col("capacity").cast("string")), F.lit(0.0)))
-            .withColumn("region", canonical_region(F.col("region"), anchored))
+            .withColumn("capacity", F.coalesce(to_numeric_coerce(F.col("capacity").cast("string")), F.lit(0.0)))
+            .withColumn("region", to_canonical(F.col("region"), anchored))
             .withColumn("subregion", strip(F.col("subregion")))
             .withColumn("address", F.col("subregion"))
             .filter(F.col("region") != ""))

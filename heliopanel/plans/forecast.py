@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from heliopanel import constants as K
 from heliopanel.forecast import features as X
 from heliopanel.forecast import models as M
-from heliopanel.operators.aggregates import union_with_origin
+from heliopanel.operators.aggregates import union_train_test
 from heliopanel.operators.evaluate import regression_metrics
 from heliopanel.operators.filters import first_rows
 from heliopanel.operators.panel import Panel, add_lags, history_tail, sequence_windows
@@ -79,7 +79,7 @@ def evaluate_saved(model: PipelineModel, meta: dict, train: DataFrame, test: Dat
     target, keys = meta["target"], meta["keys"]
     tail = history_tail(train, keys, meta["lags"])
     tail = tail.withColumn(target, F.col(target) / F.lit(float(meta["unit_factor"])))
-    stacked = union_with_origin({"train": tail, "test": test})
+    stacked = union_train_test({"train": tail, "test": test})
     rows = X.panel_features(stacked, target, keys, ("origin_ord",), meta["lags"], meta["roll_windows"])
     rows = rows.filter(F.col("origin") == "test")
     scored = M.predict(model, rows, ["ts", *keys, F.col(target).alias("y_true")])
@@ -98,7 +98,7 @@ def multi_horizon_rows(df: DataFrame, target: str = "mwh", keys: Sequence[str] =
 def fit_multi_horizon(rows: DataFrame, estimator=None) -> PipelineModel:
     """One pooled model for all forecast steps on the log scale."""
     names = M.horizon_features(rows)
-    stages = M.preprocessing(rows, names, ())
+    stages = M.impute_encode(rows, names, ())
     return Pipeline(stages=[*stages, estimator or M.linear_horizon_model()]).fit(rows)
 
 

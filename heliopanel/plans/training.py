@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from heliopanel.operators.aggregates import sum_by_plant_hour
-from heliopanel.operators.filters import fill_zero
+from heliopanel.operators.filters import fill_zero, sort_by
 from heliopanel.operators.joins import (hourly_weather, join_alias, join_geocode, join_location, join_weather,
                                         nearest_station)
 from heliopanel.sources.csv_files import read_generation, read_locations, read_station_meta, read_weather
@@ -41,7 +40,7 @@ def training_table(generation: DataFrame, alias: DataFrame, location: DataFrame,
     table = join_weather(placed, observed).select(COLUMNS)
     if fill:
         table = fill_zero(table, MEASURES)
-    return table.orderBy(F.asc_nulls_last("plant"), F.asc_nulls_last("ts")) if ordered else table
+    return sort_by(table, "plant", "ts") if ordered else table
 
 
 def training_table_from_files(spark: SparkSession, meters: str, locations: str, stations: str, weather: str,

@@ -19,7 +19,7 @@ from heliopanel import schemas
 from heliopanel.functions import text as T
 from heliopanel.functions.timefx import hour_to_timestamp, parse_mixed_ts, strip_digits_date
 from heliopanel.operators.aggregates import union_all
-from heliopanel.operators.filters import decoded_path, with_source_file
+from heliopanel.operators.filters import clean_column_names, decoded_path, with_constant_default, with_source_file
 from heliopanel.operators.reshape import melt_hours
 from heliopanel.session import literal_rows
 
@@ -110,23 +110,38 @@ def read_group(spark: SparkSession, group: HeaderGroup, delimiter: str | None =
                                                                     "source_file", "row_ord")
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, pattern: str = "*.csv",
-             recursive: bool = True) -> DataFrame:
-    """Files with one common set of columns, encoding found per file; missing columns are null."""
+def read_csv_safe(spark: SparkSession, path: str, delimiter: str | None = None, pattern: str = "*.csv",
+                  recursive: bool = True) -> DataFrame:
+    """Text columns of one or more files, encoding and delimiter found per file.
+
+    Byte order marks are dropped. Columns that only some files have are null in the others.
+    """
     groups = header_groups(file_heads(spark, path, pattern, recursive))
     frames = [read_group(spark, g, delimiter) for g in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_csv_flex(spark: SparkSession, path: str) -> DataFrame:
+    """The same with a fixed comma."""
+    return read_csv_safe(spark, path, delimiter=",")
+
+
+read_csv_auto = read_csv_flex
+
+
 @dataclass(frozen=True)
 class Header:
-    """What the column names of one group say."""
+    """What the column names of one group say: hour columns by hour, their unit, column roles."""
 
     columns: tuple[str, ...]
     hours: tuple[tuple[str, int], ...]
     unit: str | None
     roles: dict[str, str | None]
 
+    def assign_unit(self) -> str:
+        """The unit an hour column names, else MWh for files with plant names and kWh without."""
+        return self.unit or ("mwh" if self.roles["meter_name"] else "kwh")
+
 
 def _contains_any(c: Column, words: list[str]) -> Column:
     return c.rlike("|".join(words))
@@ -178,21 +193,27 @@ def meter_rows(df: DataFrame, header: Header, years: list[int] | None = None) ->
     if header.roles["meter_name"]:
         wide = wide.filter(F.col("plant").contains(K.SOLAR))
     wide = wide.filter(F.col("day").isNotNull() if years is None else F.year("day").isin(years))
-    unit = header.unit or ("mwh" if header.roles["meter_name"] else "kwh")
     long = melt_hours(wide, ["day", "plant"], labels)
     hour = F.substring_index("hour_label", ":", 1).cast("int")
     return long.replace(K.PLANT_CORRECTIONS, subset=["plant"]).select(
         hour_to_timestamp(F.col("day"), hour).alias("ts"), "plant",
-        T.convert_to_mwh(F.col("raw"), F.lit(unit)).alias("mwh"))
+        T.convert_to_mwh(F.col("raw"), F.lit(header.assign_unit())).alias("mwh"))
+
+
+def harmonise_columns(df: DataFrame, roles: dict[str, str | None], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project to {canonical name: column found}; roles without a column are left out."""
+    found = [F.col(f"`{column}`").alias(role) for role, column in roles.items() if column is not None]
+    return df.select(*found, *keep)
 
 
 def location_rows(df: DataFrame, header: Header) -> DataFrame:
     """One location table to plant, energy_source, address, source_file, row_ord."""
-    roles = header.roles
-    source = F.col(f"`{roles['source']}`") if roles["source"] else F.lit(K.SOLAR)
-    return df.select(F.col(f"`{roles['plant']}`").alias("plant"), source.alias("energy_source"),
-                     T.simplify_address(F.col(f"`{roles['location']}`")).alias("address"),
-                     "source_file", "row_ord")
+    roles = {"plant": header.roles["plant"], "energy_source": header.roles["source"],
+             "address": header.roles["location"]}
+    rows = harmonise_columns(df, roles, ("source_file", "row_ord"))
+    rows = with_constant_default(rows, "energy_source", K.SOLAR)
+    return rows.withColumn("address", T.simplify_address(F.col("address"))).select(
+        "plant", "energy_source", "address", "source_file", "row_ord")
 
 
 def _rejects(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -235,12 +256,29 @@ def read_locations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 
 def read_station_meta(spark: SparkSession, path: str) -> DataFrame:
     """Stations with coordinates; ord is the order in the file."""
-    df = read_csv(spark, path)
+    df = read_csv_safe(spark, path)
     return df.select(F.col("지점").try_cast("bigint").alias("station"), F.col("지점명").alias("station_name"),
-                     T.to_number(F.col("위도")).alias("lat"), T.to_number(F.col("경도")).alias("lon"),
+                     T.to_numeric_coerce(F.col("위도")).alias("lat"), T.to_numeric_coerce(F.col("경도")).alias("lon"),
                      F.col("row_ord").alias("ord")).na.drop(subset=["lat", "lon"])
 
 
+def _typed(c: Column, name: str) -> Column:
+    """Text column of a published table under its canonical name and type."""
+    if name == "ts":
+        return parse_mixed_ts(c).alias(name)
+    if name == "station":
+        return c.try_cast("bigint").alias(name)
+    if name in ("plant", "station_name"):
+        return c.alias(name)
+    return T.to_numeric_coerce(c).alias(name)
+
+
+def weather_columns(table: DataFrame) -> DataFrame:
+    """Weather text columns to canonical names and types, with source_file and row_ord."""
+    return table.select(*[_typed(F.col(f"`{old}`"), new) for old, new in K.WEATHER_COLUMNS.items()],
+                        "source_file", "row_ord")
+
+
 def read_weather(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Hourly weather files of a folder, and the rejected files."""
     groups = header_groups(file_heads(spark, folder, "OBS_ASOS_TIM_*.csv", recursive=False))
@@ -250,18 +288,7 @@ def read_weather(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         if not set(K.WEATHER_COLUMNS) <= set(table.columns):
             bad += [(path, "missing weather column") for path in group.paths]
             continue
-        numbers = {"temperature", "rain", "sunshine", "radiation"}
-        columns = []
-        for old, new in K.WEATHER_COLUMNS.items():
-            c = F.col(f"`{old}`")
-            if new == "ts":
-                c = parse_mixed_ts(c)
-            elif new == "station":
-                c = c.try_cast("bigint")
-            elif new in numbers:
-                c = T.to_number(c)
-            columns.append(c.alias(new))
-        frames.append(table.select(*columns, "source_file", "row_ord"))
+        frames.append(weather_columns(table))
     if not frames:
         raise ValueError(f"no usable weather file in {folder}")
     return union_all(frames), _rejects(spark, bad)
@@ -269,25 +296,13 @@ def read_weather(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
     """A published training table back under its canonical column names and types."""
-    df = read_csv(spark, path, delimiter=",")
-    columns = []
-    for new, old in K.TRAINING_COLUMNS.items():
-        c = F.col(f"`{old}`")
-        if new == "ts":
-            c = parse_mixed_ts(c)
-        elif new == "station":
-            c = c.try_cast("bigint")
-        elif new not in ("plant", "station_name"):
-            c = T.to_number(c)
-        columns.append(c.alias(new))
-    return df.select(*columns)
+    df = read_csv_flex(spark, path)
+    return df.select(*[_typed(F.col(f"`{old}`"), new) for new, old in K.TRAINING_COLUMNS.items()])
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Generator registry exported as CSV, under canonical names."""
-    from heliopanel.operators.filters import clean_column_names
-
-    df = clean_column_names(read_csv(spark, path))
+    df = clean_column_names(read_csv_safe(spark, path))
     capacity = F.col("`설비용량`") if "설비용량" in df.columns else F.lit("0")
     return df.select(F.col("발전기명").alias("generator"), F.col("광역지역").alias("region"),
                      F.col("세부지역").alias("subregion"), capacity.alias("capacity"))

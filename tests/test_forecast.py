@@ -89,7 +89,7 @@ def test_multi_horizon_beats_persistence_and_weights_the_peak(spark):
 def test_search_ensemble_and_attribution(spark):
     rows = PF.multi_horizon_rows(spark.createDataFrame(solar(24 * 14), SCHEMA))
     names = M.horizon_features(rows)
-    table = Pipeline(stages=M.preprocessing(rows, names, ())).fit(rows).transform(rows).cache()
+    table = Pipeline(stages=M.impute_encode(rows, names, ())).fit(rows).transform(rows).cache()
     search = M.tune(table, trials=2, rounds=2)
     assert len(search.validationMetrics) == 2 and search.validationMetrics[0] != search.validationMetrics[1]
     models = [M.boosted_trees("log_y", rounds=2, depth=2, seed=s, prediction="log_pred").fit(table) for s in (1, 2)]

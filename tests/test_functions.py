@@ -32,12 +32,12 @@ def test_simplify_address(spark):
 def test_canonical_region(spark):
     cases = {"서울": "서울특별시", " 부산 광역시": "부산광역시", "경기도 광주시": "광주광역시", "전북특별자치도": "전라북도",
              "강원도": "강원특별자치도", " 해외 ": "해외", "": ""}
-    assert apply(spark, text.canonical_region, [*cases, None]) == [*cases.values(), ""]
-    assert apply(spark, lambda c: text.canonical_region(c, anchored=True), ["경기도 광주시"]) == ["경기도"]
+    assert apply(spark, text.to_canonical, [*cases, None]) == [*cases.values(), ""]
+    assert apply(spark, lambda c: text.to_canonical(c, anchored=True), ["경기도 광주시"]) == ["경기도"]
 
 
 def test_region_labels(spark):
-    assert apply(spark, text.strip_region_prefix, ["전라북도 전북특별자치도 익산시", "경기도수원시", "수원시", None]) == [
+    assert apply(spark, text.strip_region_prefix_any, ["전라북도 전북특별자치도 익산시", "경기도수원시", "수원시", None]) == [
         "익산시", "수원시", "수원시", ""]
     assert apply(spark, text.normalize_subregion, ["  a \t b ", None]) == ["a b", ""]
     assert apply(spark, text.valid_region, ["서울", " nan ", "", "None", "알수없음", None]) == [

@@ -15,7 +15,7 @@ def test_exact_quantile_equals_linear_interpolation(spark):
     draw = random.Random(7)
     values = [round(draw.gauss(50, 20), 2) for _ in range(3001)]
     wanted = {str(q): ("v", q) for q in (0.0, 0.01, 0.5, 0.95, 0.999, 1.0)}
-    found = Q.exact_quantiles(table(spark, values), wanted)
+    found = Q.quantiles_exact(table(spark, values), wanted)
     for name, (_, q) in wanted.items():
         assert found[name] == pytest.approx(float(np.quantile(values, q)), abs=1e-9)
 
@@ -24,7 +24,7 @@ def test_exact_quantile_equals_linear_interpolation(spark):
 def test_small_tables(spark, rows):
     values = [float(i * i) for i in range(rows)]
     wanted = {str(q): ("v", q) for q in (0.1, 0.25, 0.5, 0.9)}
-    found = Q.exact_quantiles(table(spark, values), wanted)
+    found = Q.quantiles_exact(table(spark, values), wanted)
     for name, (_, q) in wanted.items():
         assert found[name] == pytest.approx(float(np.quantile(values, q)))
 
@@ -33,14 +33,14 @@ def test_small_tables(spark, rows):
 def test_a_third_of_all_rows_share_one_value(spark, band_rows):
     values = [0.0] * 2000 + [float(i) for i in range(1, 2001)] + [999.0] * 2000
     wanted = {str(q): ("v", q) for q in (0.2, 1 / 3, 0.4, 0.5, 0.66, 0.7)}
-    found = Q.exact_quantiles(table(spark, values), wanted, band_rows)
+    found = Q.quantiles_exact(table(spark, values), wanted, band_rows)
     for name, (_, q) in wanted.items():
         assert found[name] == pytest.approx(float(np.quantile(values, q)), abs=1e-9)
 
 
 def test_null_and_nan_are_ignored_and_empty_is_none(spark):
     df = table(spark, [None, float("nan"), 1.0, 3.0]).withColumn("none", F.lit(None).cast("double"))
-    found = Q.exact_quantiles(df, {"m": ("v", 0.5), "e": ("none", 0.5)})
+    found = Q.quantiles_exact(df, {"m": ("v", 0.5), "e": ("none", 0.5)})
     assert found == {"m": 2.0, "e": None}
 
 
@@ -49,7 +49,7 @@ def test_wide_brackets_are_narrowed(spark, monkeypatch):
     draw = random.Random(3)
     values = [0.0] * 500 + [round(draw.uniform(-5, 5), 3) for _ in range(1500)]
     wanted = {str(q): ("v", q) for q in (0.05, 0.5, 0.93)}
-    found = Q.exact_quantiles(table(spark, values), wanted, band_rows=20)
+    found = Q.quantiles_exact(table(spark, values), wanted, band_rows=20)
     for name, (_, q) in wanted.items():
         assert found[name] == pytest.approx(float(np.quantile(values, q)), abs=1e-9)
 
@@ -58,7 +58,7 @@ def test_a_missed_bracket_is_widened(spark, monkeypatch):
     monkeypatch.setattr(Q, "MARGIN", 0.0)
     values = [float(i) for i in range(1001)]
     monkeypatch.setattr(Q, "SKETCH_ACCURACY", 10)
-    assert Q.exact_quantile(table(spark, values), "v", 0.437) == pytest.approx(437.0)
+    assert Q.quantile_exact(table(spark, values), "v", 0.437) == pytest.approx(437.0)
 
 
 def test_most_frequent_takes_the_smallest_on_ties(spark):
@@ -69,7 +69,7 @@ def test_most_frequent_takes_the_smallest_on_ties(spark):
 
 def test_exact_modes(spark):
     df = spark.createDataFrame([("q", 1), ("p", 1), ("p", 2), (None, 2)], "s string, n int")
-    assert Q.exact_modes(df, ["s", "n"]) == {"s": "p", "n": "1"}
+    assert Q.mode_impute_fit(df, ["s", "n"]) == {"s": "p", "n": "1"}
 
 
 def test_scale_summary_skips_non_finite(spark):

@@ -242,7 +242,7 @@ def unit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows in a unit 10000 times smaller; the first test lag of a plant is still a train value."""
     gen = S.generation(spark, sf_dir)
     cut = F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")
-    stacked = A.union_with_origin({"train": gen.filter(cut),
+    stacked = A.union_train_test({"train": gen.filter(cut),
                                    "test": gen.filter(~cut).withColumn("mwh", F.col("mwh") / 10000.0)})
     lagged = W.add_lags(W.Panel(stacked, ["plant"], tiebreak=["origin_ord"]), "mwh", [1]).persist()
     train, test = X.split_by_origin(lagged)

@@ -95,15 +95,15 @@ _METER_SQL = " UNION ALL ".join(
 
 @query(f"""
 , named AS (
-    SELECT CASE WHEN suppkey % 4 = 0 THEN '(군산)영암F1태양광'
+    SELECT CASE WHEN flag = 'A' THEN '(군산)영암F1태양광'
                 ELSE CAST(suppkey AS VARCHAR) || '태양광' END AS plant, *
-    FROM wide WHERE year(day) IN (1996, 1997, 1998) AND suppkey % 4 <> 1)
+    FROM wide WHERE year(day) IN (1996, 1997, 1998) AND flag <> 'N')
 SELECT plant, ts, CAST(sum(CAST(round(v * 10000.0::DOUBLE) AS BIGINT)) AS DOUBLE) / 10000.0::DOUBLE AS mwh
 FROM ({_METER_SQL}) GROUP BY plant, ts""", "wide")
 def meter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole meter path on text columns: header roles, name and year filter, unpivot, units, sum."""
-    key = F.col("l_suppkey")
-    name = (F.when(key % 4 == 0, F.lit("영암에프원태양광b")).when(key % 4 == 1, F.concat(S.text(key), F.lit("풍력")))
+    key, flag = F.col("l_suppkey"), F.col("l_returnflag")
+    name = (F.when(flag == "A", F.lit("영암에프원태양광b")).when(flag == "N", F.concat(S.text(key), F.lit("풍력")))
             .otherwise(F.concat(S.text(key), F.lit("태양광 "))))
     table = S.read(spark, sf_dir, "lineitem").select(
         name.alias("발전소"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("거래일자"),
@@ -257,10 +257,10 @@ SELECT generator, region_raw, region, anchored, {display_sql('region')} AS displ
            {canonical_sql('region_raw', True)} AS anchored FROM registry)""", "registry")
 def canonical_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("region")
-    region = T.canonical_region(raw)
+    region = T.to_canonical(raw)
     return S.registry(spark, sf_dir).select(
         "generator", raw.alias("region_raw"), region.alias("region"),
-        T.canonical_region(raw, anchored=True).alias("anchored"), T.display_region_name(region).alias("display"))
+        T.to_canonical(raw, anchored=True).alias("anchored"), T.display_region_name(region).alias("display"))
 
 
 @query("""
@@ -274,7 +274,7 @@ FROM texts""".replace("PREFIXES", "|".join(sorted(K.REGION_PREFIXES, key=lambda
 def subregion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("  "), "region", F.lit("   "), "subregion", F.lit(" "), "region"))
     return S.registry(spark, sf_dir).select(
-        "generator", T.normalize_subregion(raw).alias("collapsed"), T.strip_region_prefix(raw).alias("stripped"),
+        "generator", T.normalize_subregion(raw).alias("collapsed"), T.strip_region_prefix_any(raw).alias("stripped"),
         T.norm(raw).alias("plain"))
 
 
@@ -351,7 +351,7 @@ SELECT origin, count(*) AS readings, min(ts) AS first_ts, max(ts) AS last_ts FRO
 def union_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     gen = S.generation(spark, sf_dir)
     cut = F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")
-    stacked = A.union_with_origin({"train": gen.filter(cut).withColumn("extra", F.lit(1)), "test": gen.filter(~cut)})
+    stacked = A.union_train_test({"train": gen.filter(cut).withColumn("extra", F.lit(1)), "test": gen.filter(~cut)})
     return stacked.groupBy("origin").agg(F.count("*").alias("readings"), F.min("ts").alias("first_ts"),
                                          F.max("ts").alias("last_ts"))
 

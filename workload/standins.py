@@ -182,6 +182,6 @@ SQL = {
         SELECT DISTINCT {sql_list(_names())}[n_nationkey % {len(_names())} + 1] AS name FROM nation)""",
     "wide": """wide AS (
         SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS linenumber, l_shipdate AS day,
-               l_suppkey AS suppkey, """ + ", ".join(f'{c} AS "{label}"' for label, c in HOUR_LABELS.items()) + """
+               l_suppkey AS suppkey, l_returnflag AS flag, """ + ", ".join(f'{c} AS "{label}"' for label, c in HOUR_LABELS.items()) + """
         FROM lineitem)""",
 }

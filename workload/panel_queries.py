@@ -23,7 +23,7 @@ SCALE = K.MWH_SCALE
 
 
 def panel(spark: SparkSession, sf_dir: str) -> W.Panel:
-    return W.Panel(S.generation(spark, sf_dir), ["plant"])
+    return W.Panel(S.kept_generation(spark, sf_dir), ["plant"])
 
 
 # --- lags and rolling statistics --------------------------------------------------------
@@ -178,14 +178,14 @@ def null_non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT plant, ts, mwh FROM gen, (SELECT avg(mwh) AS m, stddev_pop(mwh) AS s FROM gen)
 WHERE abs((mwh - m) / s) < 2""", "gen")
 def zscore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.zscore_filter(S.generation(spark, sf_dir), "mwh", 2.0)
+    return X.zscore_filter(S.kept_generation(spark, sf_dir), "mwh", 2.0)
 
 
 @query("""
 SELECT plant, ts, round((mwh - avg(mwh) OVER w) / (stddev_samp(mwh) OVER w + 1e-6::DOUBLE), 6) AS z
 FROM gen WINDOW w AS (PARTITION BY plant)""", "gen")
 def zscore_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = X.zscore_per_plant(S.generation(spark, sf_dir), ["mwh"])
+    scaled = X.zscore_per_plant(S.kept_generation(spark, sf_dir), ["mwh"])
     return scaled.select("plant", "ts", rounded("mwh", 6).alias("z"))
 
 
@@ -193,7 +193,7 @@ def zscore_plant(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT plant, ts, round((mwh - lo) / (hi - lo), 9) AS scaled
 FROM gen, (SELECT min(mwh) AS lo, max(mwh) AS hi FROM gen WHERE ts < TIMESTAMP '2000-01-01')""", "gen")
 def min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gen = S.generation(spark, sf_dir)
+    gen = S.kept_generation(spark, sf_dir)
     train = gen.filter(F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
     return X.min_max(gen, train, ["mwh"]).select("plant", "ts", rounded("mwh").alias("scaled"))
 
@@ -221,7 +221,7 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(mwh) AS min, round(quantile_cont(mwh, 0.5), 6) AS q50, max(mwh) AS max FROM gen", "gen")
 def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.scale_summary(S.generation(spark, sf_dir), "mwh").withColumn("q50", rounded("q50", 6))
+    return Q.scale_summary(S.kept_generation(spark, sf_dir), "mwh").withColumn("q50", rounded("q50", 6))
 
 
 @query("""
@@ -240,7 +240,7 @@ SELECT round(train_p95, 6) AS train_p95, round(train_max, 6) AS train_max, round
 FROM s""", "gen")
 def unit_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows in a unit 10000 times smaller; the first test lag of a plant is still a train value."""
-    gen = S.generation(spark, sf_dir)
+    gen = S.kept_generation(spark, sf_dir)
     cut = F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")
     stacked = A.union_train_test({"train": gen.filter(cut),
                                    "test": gen.filter(~cut).withColumn("mwh", F.col("mwh") / 10000.0)})
@@ -270,7 +270,7 @@ def impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT plant, ts, mwh, ts >= (SELECT max(ts) FROM gen) - INTERVAL 7 DAY AS is_validation FROM gen", "gen")
 def split_last_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_validation_flag(S.generation(spark, sf_dir))
+    return X.with_validation_flag(S.kept_generation(spark, sf_dir))
 
 
 # --- evaluation against persistence -----------------------------------------------------

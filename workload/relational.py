@@ -460,5 +460,5 @@ def week_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(date_diff('day', (SELECT min(ts) FROM gen)::DATE, ts::DATE) // 7 AS BIGINT) AS week_idx,
        count(*) AS readings, min(ts) AS first_ts, max(ts) AS last_ts FROM gen GROUP BY 1""", "gen")
 def week_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (E.with_week_index(S.generation(spark, sf_dir)).groupBy(big("week_idx").alias("week_idx"))
+    return (E.with_week_index(S.kept_generation(spark, sf_dir)).groupBy(big("week_idx").alias("week_idx"))
             .agg(F.count("*").alias("readings"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))

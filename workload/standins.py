@@ -50,6 +50,11 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_by_plant_hour(generation_rows(spark, sf_dir))
 
 
+def kept_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for plans that read it more than once, so that the raw rows are reduced once."""
+    return generation(spark, sf_dir).persist()
+
+
 def events_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that share their hours with the weather rows."""
     return read(spark, sf_dir, "events").select(

@@ -209,10 +209,14 @@ def history_tail(df: DataFrame, keys: Sequence[str], rows: int = LAG_MAX, ts: st
     """Last rows of each series; rows with a null key are dropped.
 
     Spark limits each series before the shuffle, so a long series moves `rows` rows per task.
+    Tails too long for that limit are cut by position.
     """
+    df = df.na.drop(subset=list(keys))
+    if rows > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        located = Panel(df, keys, ts, tiebreak).rows
+        return located.filter(F.col("pos") >= F.col("n") - rows).drop("pos", "n")
     latest = [F.desc_nulls_first(c) for c in (ts, *tiebreak)]
-    ranked = df.na.drop(subset=list(keys)).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*latest)))
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*latest)))
     return ranked.filter(F.col("_rank") <= rows).drop("_rank")
 
 

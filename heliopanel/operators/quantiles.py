@@ -152,10 +152,12 @@ def _read_brackets(df: DataFrame, pending: list[_Rank]) -> list[_Rank]:
     brackets: dict[tuple[str, float, float], list[_Rank]] = {}
     for r in pending:
         brackets.setdefault((r.column, r.low, r.high), []).append(r)
-    cells = F.array_compact(F.array(*[
-        F.when(_value(c) <= high, F.struct(F.lit(i).alias("i"), F.when(_value(c) >= low, _value(c)).alias("v")))
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), _value(c).alias("v"), F.lit(low).alias("low"), F.lit(high).alias("high"))
         for i, (c, low, high) in enumerate(brackets)
-    ]))
+    ])
+    cells = F.transform(F.filter(cells, lambda x: x["v"] <= x["high"]),
+                        lambda x: F.struct(x["i"].alias("i"), F.when(x["v"] >= x["low"], x["v"]).alias("v")))
     goals = F.array(*[F.array(*[F.lit(r.rank) for r in ranks]) for ranks in brackets.values()])
     counted = df.select(F.inline(cells)).groupBy("i", "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("v")))

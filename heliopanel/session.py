@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffles start with the configured number of partitions and are merged to this size.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # 168 lag columns plus their inputs have to stay inside generated code.
     "spark.sql.codegen.maxFields": "400",
 }

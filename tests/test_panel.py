@@ -97,9 +97,12 @@ def test_history_complete_and_lag_array(spark, data):
     assert all(r["lags"] == y[max(0, i - 12):i] for i, r in enumerate(arrays))
 
 
-def test_history_tail(spark, data):
+@pytest.mark.parametrize("threshold", ["1000", "5"])
+def test_history_tail(spark, data, threshold):
     df, frame = data
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
     got = W.history_tail(df, ["plant"], 168).toPandas().sort_values(["plant", "ts"])
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     want = frame.groupby("plant").tail(168)
     assert got[["plant", "ts"]].values.tolist() == want[["plant", "ts"]].values.tolist()
 

@@ -33,7 +33,7 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
 
 def clean_column_names(df: DataFrame) -> DataFrame:
     """Drop byte order marks and collapse white space in the column names."""
-    return df.toDF(*[" ".join(c.replace("﻿", "").split()) for c in df.columns])
+    return df.toDF(*[" ".join(c.replace("\ufeff", "").split()) for c in df.columns])
 
 
 def filter_contains(df: DataFrame, column: str, word: str = K.SOLAR) -> DataFrame:

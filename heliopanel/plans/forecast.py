@@ -48,8 +48,9 @@ def train_boosted(train: DataFrame, test: DataFrame, target: str = "mwh", keys:
     rows see the train history, the last days of train validate, and gaps are filled from the
     remaining train rows.
     """
-    own_lag = add_lags(Panel(test, keys), target, [1])
+    own_lag = add_lags(Panel(test, keys), target, [1]).select(target, "lag_1").persist()
     factor = X.unit_factor(train, own_lag, target)
+    own_lag.unpersist()
     test = X.apply_unit_factor(test, [target], factor["factor"])
     table = X.stitched_features(train, test, target, keys, lag_max, windows).cache()
     train_rows, test_rows = X.split_by_origin(table)

@@ -82,7 +82,7 @@ def file_heads(spark: SparkSession, folder: str, pattern: str = "*.csv", recursi
     return (heads.join(encodings, "path")
             .select("path", F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit(KOREAN)).alias("encoding"),
                     sniff_delimiter(text).alias("delimiter"),
-                    F.replace(header, F.lit("﻿"), F.lit("")).alias("header")))
+                    F.replace(header, F.lit("\ufeff"), F.lit("")).alias("header")))
 
 
 def header_groups(heads: DataFrame) -> list[HeaderGroup]:

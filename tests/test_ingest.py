@@ -25,7 +25,7 @@ def meter(name, date, values):
 @pytest.fixture()
 def folder(tmp_path):
     head = "발전소명,거래일자," + ",".join(HOURS)
-    put(tmp_path / "meters/2024/a.csv", "﻿" + head + "\n" + meter("가 태양광", "2024-01-01", range(24)) + "\n"
+    put(tmp_path / "meters/2024/a.csv", "\ufeff" + head + "\n" + meter("가 태양광", "2024-01-01", range(24)) + "\n"
         + meter("나 풍력", "2024-01-01", range(24)) + "\n" + meter("가 태양광", "20240230", range(24)) + "\n"
         + meter("가 태양광", "2019-01-01", range(24)) + "\n")
     put(tmp_path / "meters/b.csv", head + "\n" + meter("가 태양광", "2024.01.01", ['"1,234"', "", "nan", *([1] * 21)]) + "\n", "cp949")
@@ -126,7 +126,7 @@ def test_run_meta_and_json(spark, folder):
 
 
 def test_transcode(spark, folder):
-    path = folder / "raw/남동발전량_2024_03.csv"
+    path = folder / "raw/발전량_2024_03.csv"
     path.parent.mkdir()
     path.write_bytes("이름,값\n가".encode("cp949") + b"\xff,1\n")
     sinks.transcode_files(spark, str(folder / "raw"), str(folder / "utf8"))

@@ -152,7 +152,7 @@ def test_outliers_and_weeks(spark):
 def test_small_operators(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", None, "x")], "k string, v int, s string")
     assert rows(P.fill_zero(df, ["v"]), "k") == [("a", 1, None), ("b", 0, "x")]
-    assert P.clean_column_names(df.withColumnRenamed("v", "﻿v \n w")).columns == ["k", "v w", "s"]
+    assert P.clean_column_names(df.withColumnRenamed("v", "\ufeffv \n w")).columns == ["k", "v w", "s"]
     assert P.find_column(["Time", "Y"], ["일시", "time"]) == "Time"
     with pytest.raises(KeyError):
         P.find_column(["x"], ["y"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import chat_format, exact_dedup, mixing
+from heliopanel.llm import chat_format, exact_dedup, mixing, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -47,6 +48,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(extra)))
 
 
+@query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.add_token_counts(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 @query()
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document so that sources meet their target weights."""

@@ -19,12 +19,12 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
@@ -44,7 +44,7 @@ STATES = 8
 #: Texts of about this many code points are scanned together.
 PASS_CHARS = 2_000_000
 CHUNK = 256
-CACHED_SLICES = 200_000
+CACHED_SLICES = 500_000
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:
@@ -123,8 +123,12 @@ def automaton() -> Automaton:
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """LETTER, NUMBER, OTHER or WHITE_ON for each code point."""
-    first = {"L": LETTER, "N": NUMBER}
-    kinds = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    codes = np.frombuffer(every.encode("utf-32-le"), np.uint32)
+    kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for name, kind in (("L", LETTER), ("N", NUMBER)):  # the character database of the regex module is a recent one
+        for found in regex.finditer(rf"\p{{{name}}}+", every):
+            kinds[codes[found.start():found.end()]] = kind
     kinds[WHITE] = WHITE_ON
     return kinds
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import chat_format, exact_dedup, mixing, token_counts
+from heliopanel.llm import bpe, chat_format, exact_dedup, mixing, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,17 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded again, as digests."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(documents, path).select("doc_id", "token_ids", "token_offsets"), path)
+    return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query(r"""
 WITH chats AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

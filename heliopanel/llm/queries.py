@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, mixing, token_counts
+from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, mixing, quality_crf, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,16 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality_crf.score(documents, field)
+    return scored.select("doc_id", quality_crf.training_split(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_good_lines")
+
+
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""

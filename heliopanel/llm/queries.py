@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, mixing, quality_crf, token_counts
+from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality_crf, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.minhash_dedup(documents).select("doc_id", "component_id", "kept")
+
+
 @query()
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""

@@ -42,9 +42,9 @@ CLASSES = 8
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, NEW, ENDING_1, ENDING_2 = range(8)
 STATES = 8
 #: Texts of about this many code points are scanned together.
-PASS_CHARS = 2_000_000
+PASS_CHARS = 1_000_000
 CHUNK = 256
-CACHED_SLICES = 500_000
+CACHED_SLICES = 250_000
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:
@@ -123,8 +123,8 @@ def automaton() -> Automaton:
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """LETTER, NUMBER, OTHER or WHITE_ON for each code point."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-    codes = np.frombuffer(every.encode("utf-32-le"), np.uint32)
+    codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, sys.maxunicode + 1)]).astype(np.uint32)
+    every = codes.tobytes().decode("utf-32-le")
     kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for name, kind in (("L", LETTER), ("N", NUMBER)):  # the character database of the regex module is a recent one
         for found in regex.finditer(rf"\p{{{name}}}+", every):
@@ -282,45 +282,56 @@ def int_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, place: int) -> Iterator[pa.RecordBatch]:
+    words = vocabulary(path)
+    for batch in batches:
+        done = 0
+        for texts in passes([t or "" for t in batch.column(place).to_pylist()]):
+            ids = words.encode(texts)
+            offsets = []
+            for tokens in ids:
+                lengths = words.lengths[tokens]
+                offsets.append((np.cumsum(lengths) - lengths).astype(np.int32))
+            part = batch.slice(done, len(texts))
+            done += len(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, int_lists(ids), int_lists(offsets)],
+                                             names=[*batch.schema.names, "token_ids", "token_offsets"])
+
+
+def decoded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    words = vocabulary(path)
+    for batch in batches:
+        out = []
+        for ids, offsets in zip(batch.column("token_ids"), batch.column("token_offsets")):
+            ids, offsets = ids.values.to_numpy(zero_copy_only=False), offsets.values.to_numpy(zero_copy_only=False)
+            size = int(offsets[-1] + words.lengths[ids[-1]]) if len(ids) else 0
+            out.append(words.decode(ids, offsets, size))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+
+
+TOKEN_FIELDS = [StructField("token_ids", ArrayType(IntegerType(), False)), StructField("token_offsets", ArrayType(IntegerType(), False))]
+
+
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All rows with token_ids and token_offsets (the byte at which each token starts); `text` is kept."""
+    """All rows with token_ids and token_offsets (the byte at which each token starts)."""
     df = without(df, "token_ids", "token_offsets")
-    ints = ArrayType(IntegerType(), False)
-    schema = StructType([*df.schema.fields, StructField("token_ids", ints), StructField("token_offsets", ints)])
     place = df.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for batch in batches:
-            done = 0
-            for texts in passes([t or "" for t in batch.column(place).to_pylist()]):
-                ids = words.encode(texts)
-                offsets = []
-                for tokens in ids:
-                    lengths = words.lengths[tokens]
-                    offsets.append((np.cumsum(lengths) - lengths).astype(np.int32))
-                part = batch.slice(done, len(texts))
-                done += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, int_lists(ids), int_lists(offsets)],
-                                                 names=[*batch.schema.names, "token_ids", "token_offsets"])
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: encoded_batches(batches, path, place), StructType([*df.schema.fields, *TOKEN_FIELDS]))
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """All rows with `decoded`, the bytes that token_ids and token_offsets stand for."""
     df = without(df, "decoded")
-    schema = StructType([*df.schema.fields, StructField("decoded", BinaryType())])
-    ids_at, offsets_at = df.columns.index("token_ids"), df.columns.index("token_offsets")
+    return df.mapInArrow(lambda batches: decoded_batches(batches, path), StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `keep` with token_ids and decoded: both steps in one task, without going through the JVM between them."""
+    place = df.columns.index(text)
+    columns = [*keep, "token_ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for batch in batches:
-            out = []
-            for ids, offsets in zip(batch.column(ids_at), batch.column(offsets_at)):
-                ids, offsets = ids.values.to_numpy(zero_copy_only=False), offsets.values.to_numpy(zero_copy_only=False)
-                size = int(offsets[-1] + words.lengths[ids[-1]]) if len(ids) else 0
-                out.append(words.decode(ids, offsets, size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return df.mapInArrow(run, schema)
+        for batch in decoded_batches(encoded_batches(batches, path, place), path):
+            yield batch.select(columns)
+
+    return df.mapInArrow(run, StructType([*[df.schema[k] for k in keep], TOKEN_FIELDS[0], StructField("decoded", BinaryType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliopanel.llm.common import col, fresh, stored, without
-from heliopanel.llm.graph import components
+from heliopanel.llm.graph import components, roots
 
 OUTPUT = ("n_links", "component_id", "kept")
 STRIP = 256
@@ -67,23 +67,6 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[n
     return np.concatenate([none, *left_out]), np.concatenate([none, *right_out])
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row number that each row reaches over the pairs."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, root[i], low)
-        np.minimum.at(after, root[j], low)
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == root).all():
-            break
-        root = after
-    return root
-
-
 def embedding_links(vectors: DataFrame, threshold: float, block: int) -> DataFrame:
     """From (label, dims, node, copies, vector): rows (node, links, root) of each tile."""
     sizes = vectors.groupBy("label", "dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

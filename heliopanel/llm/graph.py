@@ -1,13 +1,31 @@
-"""Connected components of a table of links."""
+"""Connected components: of a table of links, and of the links that one task has found."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliopanel.llm.common import stored
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row number that each row reaches over the pairs."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, root[i], low)
+        np.minimum.at(after, root[j], low)
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    return root
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -1,18 +1,22 @@
 """Near duplicates by consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles, a shingle's weight its count in the text times its
-inverse document frequency. Frequencies are counted over all documents in 2 ** 20 hashed slots, a table of
+inverse document frequency. That is augmented: a shingle of every document weighs half of a unique one. So
+copies in large groups, whose common shingles are frequent just because of the group, still reach the
+threshold. Frequencies are counted over all documents in 2 ** 20 hashed slots, a table of
 fixed size that is summed in rounds of 64 parts and is the only thing that reaches the driver. Improved
 consistent weighted sampling draws 100 samples of each set, alike with the probability of the weighted
 Jaccard similarity of two sets; bands of five make 20 bucket keys (two texts of similarity 0.8 miss each
 other with a probability of 0.0004). Random numbers are drawn per slot of 2 ** 14, so sampling is table work.
 
-Texts of the same words are first reduced to one. In each bucket a leader is compared with all others:
-no pairs within groups are listed. Buckets whose members then still lie in different components get another
-leader; once few enough pairs across components are left, they are all compared. So every pair of a bucket
-is either compared by the exact weighted Jaccard similarity or already lies in one component, and no link is
-lost that the samples found. Pairs whose weight sums alone rule out the threshold are not compared. Loops
-keep their tables in the shared folder.
+Texts of the same words are first reduced to one. In each bucket the member with the most frequent
+shingles, the middle of a group, is compared with all others: no pairs within groups are listed. What then
+lies in one bucket and not in one component is looked up by its rarest shingles, of which two similar texts
+must share one; the clusters that these connect are compared across components in pairs of blocks, each a
+task that returns only links. So every pair of a bucket either is compared by the
+exact weighted Jaccard similarity, or lies in one component, or provably has no link, and none is lost that
+the samples found. Pairs whose weight sums alone rule out the threshold are not compared. Tables between the
+steps lie in the shared folder.
 
 Result: component_id, the smallest identifier of the row's component. Null and empty texts have no shingles
 and link with nothing, nor do rows without identifier. Rows that share an identifier count as one document.
@@ -28,18 +32,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliopanel.llm.common import col, stored, without
-from heliopanel.llm.graph import components
-from heliopanel.llm.shingles import passes, shingle_hashes, weighted_sets
+from heliopanel.llm.graph import components, roots
+from heliopanel.llm.shingles import mixed, passes, shingle_hashes, weighted_sets
 
 OUTPUT = ("component_id", "kept")
 SLOTS, PART = 1 << 20, 4096
 SAMPLE_SLOTS = 1 << 14
 BANDS, ROWS = 20, 5
 FAN_IN = 64
+#: Texts of a block, and shingles compared at once, where clusters are compared.
+BLOCK, COLUMNS = 256, 4096
 #: Shingles that are sampled together.
 SAMPLED = 4096
 
@@ -86,7 +92,7 @@ def unpacked(value: bytes) -> np.ndarray:
 
 
 def inverse_frequencies(counted: DataFrame) -> np.ndarray:
-    """ln((documents + 1) / (documents with the slot + 1)) + 1 for each slot."""
+    """Augmented inverse document frequency of each slot: 0.5 + 0.5 ln((documents + 1) / (with the slot + 1)) / ln(documents + 1)."""
     parts = counted.where(F.col("part").isNotNull()).select("part", "task", "counts")
     most = parts.agg(F.max("task")).first()[0] or 0
 
@@ -103,7 +109,8 @@ def inverse_frequencies(counted: DataFrame) -> np.ndarray:
     for row in parts.collect():  # SLOTS / PART rows at most
         slots[row["part"] * PART:(row["part"] + 1) * PART] = unpacked(row["counts"])
     documents = counted.where(F.col("digest").isNotNull()).count()
-    return (np.log((documents + 1) / (np.minimum(slots, documents) + 1)) + 1).astype(np.float32)
+    share = np.log((documents + 1) / (np.minimum(slots, documents) + 1)) / np.log(documents + 2)
+    return (0.5 + 0.5 * share).astype(np.float32)
 
 
 @lru_cache(maxsize=1)
@@ -138,13 +145,11 @@ def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, digest, weight, bands) of every document with shingles."""
+    """(id, digest, weight, rarity, bands) of every document with shingles; rarity is the mean weight of a shingle."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from heliopanel.llm.shingles import mixed
-
         for batch in batches:
             ids = batch.column("id").to_pylist()
             place = 0
@@ -160,11 +165,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         bands = mixed(bands ^ values[:, :, k])
                     yield pa.RecordBatch.from_arrays([
                         pa.array([ids[place + i] for i in rows], pa.int64()), pa.array(whole[rows].view(np.int64)),
-                        pa.array([w for _, _, w in found], pa.float64()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-                        names=["id", "digest", "weight", "bands"])
+                        pa.array([w for _, _, w in found], pa.float64()),
+                        pa.array([w / counts[i] for i, _, w in found], pa.float64()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+                        names=["id", "digest", "weight", "rarity", "bands"])
                 place += len(texts)
 
-    return docs.mapInArrow(run, "id long, digest long, weight double, bands array<long>")
+    return docs.mapInArrow(run, "id long, digest long, weight double, rarity double, bands array<long>")
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -202,48 +208,135 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def candidate_links(spark: SparkSession, signed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float,
-                    most_rounds: int = 12) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links (a, b) and their components."""
-    members = signed.select(F.explode("bands").alias("key"), "id", "weight")
+def prefixes(docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(key, id, weight): of each text the rarest shingles that make up more than 1 - threshold of its weight.
+
+    Two texts that share none of these have less than threshold of the heavier one's weight in common,
+    so their similarity is below the threshold. A text whose own shingles weigh that much has no partner.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            place = 0
+            for texts in passes([t or "" for t in batch.column("text").to_pylist()]):
+                hashes, counts, _ = shingle_hashes(texts)
+                keys, owners, totals = [], [], []
+                for i, (h, w) in enumerate(weighted_sets(hashes, counts, shared.value)):
+                    rare = np.lexsort((h, -shared.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                    weight = w.sum(dtype=np.float64)
+                    below = np.cumsum(w[rare], dtype=np.float64) <= (1 - threshold + 1e-4) * weight
+                    n = min(int(below.sum()) + 1, len(h))
+                    keys.append(h[rare[:n]].view(np.int64))
+                    owners.append(np.full(n, ids[place + i]))
+                    totals.append(np.full(n, weight))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners).astype(np.int64)),
+                                                      pa.array(np.concatenate(totals))], names=["key", "id", "weight"])
+                place += len(texts)
+
+    return docs.mapInArrow(run, "key long, id long, weight double")
+
+
+def repeated_keys(members: DataFrame) -> DataFrame:
+    """The members whose key more than one member has."""
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(members.join(shared, "key"))
+    return stored(members.join(shared, "key"))
+
+
+def unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members with their component, of those keys whose members lie in different components."""
+    placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return stored(placed.join(keys, "key"))
+
+
+def tile_pairs(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, first: np.ndarray, second: np.ndarray,
+               component: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs between the sets numbered `first` and `second` that lie in different components.
+
+    A shingle that occurs n times in a text counts as n elements, so the common weight of two sets is a
+    matrix product; what comes near the threshold is computed again exactly.
+    """
+    elements, owners, weights = [], [], []
+    for i, (h, w) in enumerate(sets):
+        own = idf[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+        times = np.rint(w / own).astype(np.int64)
+        turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        elements.append(mixed(np.repeat(h, times) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        weights.append(np.repeat(own, times))
+        owners.append(np.full(len(turn), i))
+    values, column, times = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    weight, owner = np.concatenate(weights), np.concatenate(owners)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    column, weight, owner = number[column[use]], weight[use], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, weight, owner = column[order], weight[order], owner[order]
+    place_a, place_b = np.full(len(sets), -1), np.full(len(sets), -1)
+    place_a[first], place_b[second] = np.arange(len(first)), np.arange(len(second))
+    common = np.zeros((len(first), len(second)))
+    for low in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        left, right = np.zeros((len(first), COLUMNS), np.float32), np.zeros((len(second), COLUMNS), np.float32)
+        a, b, at = place_a[owner[part]], place_b[owner[part]], column[part] - low
+        left[a[a >= 0], at[a >= 0]] = weight[part][a >= 0]
+        right[b[b >= 0], at[b >= 0]] = 1
+        common += left @ right.T
+    total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    near = common >= (threshold - 0.001) / (1 + threshold) * (total[first][:, None] + total[second])
+    near &= component[first][:, None] != component[second]
+    i, j = np.nonzero(near)
+    i, j = first[i], second[j]
+    linked = np.array([x < y and jaccard(sets[x], sets[y]) >= threshold for x, y in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())], bool)
+    return i[linked], j[linked]
+
+
+def cluster_links(members: DataFrame, joined: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different components that keys connect, compared block by block."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    least = members.groupBy("key").agg(F.min("id").alias("low"))
+    clusters = stored(components(members.join(least, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
+    placed = (clusters.select(F.col("component").alias("cluster"), F.col("node").alias("id")).join(sizes, "cluster")
+              .join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+              .join(docs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("id", kind="stable")
+        sets = []
+        for texts in passes(tile["text"].tolist()):
+            hashes, counts, _ = shingle_hashes(texts)
+            sets += list(weighted_sets(hashes, counts, shared.value))
+        own, ids = tile["own"].to_numpy(), tile["id"].to_numpy()
+        first, second = np.flatnonzero(own == tile["i"].iloc[0]), np.flatnonzero(own == tile["j"].iloc[0])
+        i, j = tile_pairs(sets, shared.value, first, second, tile["component"].to_numpy(), threshold)
+        root = roots(len(ids), i, j)
+        out = pd.DataFrame({"a": ids, "b": ids[root]})
+        return out[root != np.arange(len(ids))]
+
+    return tiles.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def candidate_links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Components (node, component) of the links."""
     close = F.least("weight", "weight_a") >= F.greatest("weight", "weight_a") * (threshold - 1e-6)
-    tested = joined = None
-    for turn in range(most_rounds):
-        if joined is None:
-            placed = members.withColumn("component", F.col("id"))
-        else:
-            placed = (members.join(joined.withColumnRenamed("node", "id"), "id", "left")
-                      .withColumn("component", F.coalesce("component", "id")))
-        per_component = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        mixed = per_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inner")).where("parts > 1")
-        if joined is not None:
-            mixed = stored(mixed)
-            left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2), F.sum("all")).first()
-            if not left[1]:
-                break
-            placed = stored(placed.join(mixed.select("key"), "key"))
-        every = turn == most_rounds - 1 or joined is not None and left[0] <= 8 * left[1]
-        if every:
-            parts = per_component.join(mixed.select("key"), "key").select("key", "component")
-            across = (parts.withColumnRenamed("component", "component_a").join(parts, "key").where("component_a < component"))
-            heads = placed.select("key", F.col("component").alias("component_a"), F.col("id").alias("id_a"), F.col("weight").alias("weight_a"))
-            pairs = across.join(heads, ["key", "component_a"]).join(placed, ["key", "component"])
-        else:
-            leader = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("id_a"), F.col("weight").alias("weight_a"),
-                                    F.col("component").alias("component_a"))).alias("leader")
-            leaders = placed.groupBy("key").agg(leader).select("key", "leader.id_a", "leader.weight_a", "leader.component_a")
-            pairs = placed.join(leaders, "key").where("component <> component_a")
-        pairs = pairs.where(close).select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        results = stored(verified(stored(pairs), docs, idf, threshold))
-        tested = results if tested is None else tested.unionByName(results)
-        joined = stored(components(tested.where("linked")))
-        if every:
-            break
-    return tested.where("linked").select("a", "b"), joined
+    members = repeated_keys(signed.select(F.explode("bands").alias("key"), "id", "weight", "rarity"))
+    # A text of frequent shingles lies in the middle of a group, so it is the one to compare the others with.
+    middle = F.min(F.struct("rarity", F.col("id").alias("id_a"), F.col("weight").alias("weight_a"))).alias("middle")
+    heads = members.groupBy("key").agg(middle).select("key", "middle.id_a", "middle.weight_a")
+    pairs = members.join(heads, "key").where("id <> id_a").where(close)
+    pairs = stored(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct())
+    joined = stored(components(verified(pairs, docs, idf, threshold).where("linked")))
+    # What lies in one bucket and not in one component is compared if it shares a shingle that two similar texts must share.
+    rest = unsettled(members, joined).select("id").distinct()
+    members = unsettled(repeated_keys(prefixes(docs.join(rest, "id", "left_semi"), idf, threshold)), joined)
+    links = cluster_links(members, joined, docs, idf, threshold)
+    return stored(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -255,7 +348,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     classes = stored(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     first = classes.select("digest", F.col("first").alias("id"))
     signed = stored(signatures(docs.where(F.col("id").isNotNull()), idf).join(first, ["digest", "id"], "left_semi"))
-    _, joined = candidate_links(df.sparkSession, signed, docs, idf, threshold)
+    joined = candidate_links(signed, docs.where(F.col("id").isNotNull()), idf, threshold)
     roots = classes.join(joined.withColumnRenamed("node", "first"), "first", "left").select(
         "digest", F.coalesce("component", "first").alias("component"))
     return rows.join(roots, "digest").where("id <> component").groupBy("id").agg(F.min("component").alias("component"))

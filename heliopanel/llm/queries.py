@@ -43,8 +43,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(documents, path).select("doc_id", "token_ids", "token_offsets"), path)
+    decoded = bpe.round_trip(documents, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=("doc_id",))
     return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))

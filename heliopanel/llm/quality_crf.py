@@ -247,5 +247,7 @@ def score(df: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
 
 def good_documents(df: DataFrame, field: Field | None, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows whose score is at least `least`, with the columns of the input."""
+    if not {c.lower() for c in df.columns} & set(OUTPUT):
+        return score(df, field, text).where(F.col("score") >= least).select(*[col(c) for c in df.columns])
     packed = df.select(F.struct("*").alias("row"), col(text).alias("text"))
     return score(packed, field).where(F.col("score") >= least).select("row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, minhash_dedup, mixing, quality_crf, token_counts
+from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, quality_crf, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -70,6 +70,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_dedup(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
+@query()
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query(r"""
 WITH chats AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -10,13 +10,12 @@ Jaccard similarity of two sets; bands of five make 20 bucket keys (two texts of
 other with a probability of 0.0004). Random numbers are drawn per slot of 2 ** 14, so sampling is table work.
 
 Texts of the same words are first reduced to one. In each bucket the member with the most frequent
-shingles, the middle of a group, is compared with all others: no pairs within groups are listed. What then
-lies in one bucket and not in one component is looked up by its rarest shingles, of which two similar texts
-must share one; the clusters that these connect are compared across components in pairs of blocks, each a
-task that returns only links. So every pair of a bucket either is compared by the
-exact weighted Jaccard similarity, or lies in one component, or provably has no link, and none is lost that
-the samples found. Pairs whose weight sums alone rule out the threshold are not compared. Tables between the
-steps lie in the shared folder.
+shingles, the middle of a group, is compared with all others: no pairs within groups are listed. Members of
+a bucket that then lie in different components are compared by their samples first, in pairs of blocks of
+the clusters that buckets connect; where 60 of 100 samples agree (texts of similarity 0.8 fall short of that
+once in a million times), the whole texts are compared, again in pairs of blocks. Both return links only,
+no more than rows. Every link is verified by the exact weighted Jaccard similarity. Pairs whose weight sums
+alone rule out the threshold are not compared. Tables between the steps lie in the shared folder.
 
 Result: component_id, the smallest identifier of the row's component. Null and empty texts have no shingles
 and link with nothing, nor do rows without identifier. Rows that share an identifier count as one document.
@@ -45,7 +44,7 @@ SAMPLE_SLOTS = 1 << 14
 BANDS, ROWS = 20, 5
 FAN_IN = 64
 #: Texts of a block, and shingles compared at once, where clusters are compared.
-BLOCK, COLUMNS = 256, 4096
+BLOCK, SAMPLE_BLOCK, COLUMNS = 512, 2048, 4096
 #: Shingles that are sampled together.
 SAMPLED = 4096
 
@@ -145,7 +144,10 @@ def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(id, digest, weight, rarity, bands) of every document with shingles; rarity is the mean weight of a shingle."""
+    """(id, digest, weight, rarity, bands, drawn) of every document with shingles.
+
+    rarity is the mean weight of a shingle, drawn has one byte of each sample.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -160,17 +162,18 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 rows = [i for i, _, _ in found]
                 if rows:
                     values = np.stack([s for _, s, _ in found]).view(np.uint32).astype(np.uint64).reshape(-1, BANDS, ROWS)
+                    drawn = (mixed(values) & np.uint64(0xFF)).astype(np.uint8).reshape(len(rows), -1)
                     bands = salt + np.zeros((len(rows), 1), np.uint64)
                     for k in range(ROWS):
                         bands = mixed(bands ^ values[:, :, k])
                     yield pa.RecordBatch.from_arrays([
                         pa.array([ids[place + i] for i in rows], pa.int64()), pa.array(whole[rows].view(np.int64)),
                         pa.array([w for _, _, w in found], pa.float64()),
-                        pa.array([w / counts[i] for i, _, w in found], pa.float64()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-                        names=["id", "digest", "weight", "rarity", "bands"])
+                        pa.array([w / counts[i] for i, _, w in found], pa.float64()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array([d.tobytes() for d in drawn], pa.binary())], names=["id", "digest", "weight", "rarity", "bands", "drawn"])
                 place += len(texts)
 
-    return docs.mapInArrow(run, "id long, digest long, weight double, rarity double, bands array<long>")
+    return docs.mapInArrow(run, "id long, digest long, weight double, rarity double, bands array<long>, drawn binary")
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -208,37 +211,6 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def prefixes(docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(key, id, weight): of each text the rarest shingles that make up more than 1 - threshold of its weight.
-
-    Two texts that share none of these have less than threshold of the heavier one's weight in common,
-    so their similarity is below the threshold. A text whose own shingles weigh that much has no partner.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column("id"))
-            place = 0
-            for texts in passes([t or "" for t in batch.column("text").to_pylist()]):
-                hashes, counts, _ = shingle_hashes(texts)
-                keys, owners, totals = [], [], []
-                for i, (h, w) in enumerate(weighted_sets(hashes, counts, shared.value)):
-                    rare = np.lexsort((h, -shared.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]))
-                    weight = w.sum(dtype=np.float64)
-                    below = np.cumsum(w[rare], dtype=np.float64) <= (1 - threshold + 1e-4) * weight
-                    n = min(int(below.sum()) + 1, len(h))
-                    keys.append(h[rare[:n]].view(np.int64))
-                    owners.append(np.full(n, ids[place + i]))
-                    totals.append(np.full(n, weight))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners).astype(np.int64)),
-                                                      pa.array(np.concatenate(totals))], names=["key", "id", "weight"])
-                place += len(texts)
-
-    return docs.mapInArrow(run, "key long, id long, weight double")
-
-
 def repeated_keys(members: DataFrame) -> DataFrame:
     """The members whose key more than one member has."""
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -294,17 +266,66 @@ def tile_pairs(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, first
     return i[linked], j[linked]
 
 
-def cluster_links(members: DataFrame, joined: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links (a, b) between members of different components that keys connect, compared block by block."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-    least = members.groupBy("key").agg(F.min("id").alias("low"))
-    clusters = stored(components(members.join(least, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
+def blocked(clusters: DataFrame, joined: DataFrame, facts: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of each cluster: (cluster, i, j, own, id, component, facts ...).
+
+    A cluster of n members has n / block blocks, and each member is copied once for each of them.
+    """
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
     placed = (clusters.select(F.col("component").alias("cluster"), F.col("node").alias("id")).join(sizes, "cluster")
               .join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-              .join(docs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "text")
+              .join(facts, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    return placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component",
+                         *[c for c in facts.columns if c != "id"])
+
+
+def rooted(tile: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """The pairs of a tile as one link per row, to the smallest that the row reaches."""
+    ids = tile["id"].to_numpy()
+    root = roots(len(ids), i, j)
+    return pd.DataFrame({"a": ids, "b": ids[root]})[root != np.arange(len(ids))]
+
+
+def sides(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(tile["own"] == tile["i"].iloc[0]), np.flatnonzero(tile["own"] == tile["j"].iloc[0])
+
+
+def likely_clusters(members: DataFrame, joined: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(node, component): members of different components, connected where their samples are alike often enough.
+
+    Two texts of similarity 0.8 agree in 80 of 100 samples, give or take 4; 60 are asked for.
+    """
+    least = members.groupBy("key").agg(F.min("id").alias("low"))
+    clusters = stored(components(members.join(least, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    n = BANDS * ROWS
+    enough = n * (threshold - 0.2)
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("id", kind="stable")
+        first, second = sides(tile)
+        drawn = np.frombuffer(b"".join(tile["drawn"]), np.uint8).reshape(len(tile), n)
+        weight, component = tile["weight"].to_numpy(), tile["component"].to_numpy()
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(first), 128):
+            some = first[low:low + 128]
+            agree = np.zeros((len(some), len(second)), np.uint8)
+            for k in range(n):
+                agree += drawn[some, k, None] == drawn[second, k]
+            near = (agree >= enough) & (component[some][:, None] != component[second])
+            near &= np.minimum(weight[some][:, None], weight[second]) >= np.maximum(weight[some][:, None], weight[second]) * (threshold - 1e-6)
+            i, j = np.nonzero(near)
+            found_i.append(some[i])
+            found_j.append(second[j])
+        return rooted(tile, np.concatenate(found_i), np.concatenate(found_j))
+
+    tiles = blocked(clusters, joined, signed.select("id", "weight", "drawn"), SAMPLE_BLOCK)
+    return stored(components(tiles.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")))
+
+
+def cluster_links(clusters: DataFrame, joined: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between members of different components of a cluster, by their whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("id", kind="stable")
@@ -312,30 +333,26 @@ def cluster_links(members: DataFrame, joined: DataFrame, docs: DataFrame, idf: n
         for texts in passes(tile["text"].tolist()):
             hashes, counts, _ = shingle_hashes(texts)
             sets += list(weighted_sets(hashes, counts, shared.value))
-        own, ids = tile["own"].to_numpy(), tile["id"].to_numpy()
-        first, second = np.flatnonzero(own == tile["i"].iloc[0]), np.flatnonzero(own == tile["j"].iloc[0])
-        i, j = tile_pairs(sets, shared.value, first, second, tile["component"].to_numpy(), threshold)
-        root = roots(len(ids), i, j)
-        out = pd.DataFrame({"a": ids, "b": ids[root]})
-        return out[root != np.arange(len(ids))]
+        return rooted(tile, *tile_pairs(sets, shared.value, *sides(tile), tile["component"].to_numpy(), threshold))
 
-    return tiles.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return blocked(clusters, joined, docs, BLOCK).groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def candidate_links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Components (node, component) of the links."""
     close = F.least("weight", "weight_a") >= F.greatest("weight", "weight_a") * (threshold - 1e-6)
     members = repeated_keys(signed.select(F.explode("bands").alias("key"), "id", "weight", "rarity"))
+    # Only texts that share a bucket are read again.
+    docs = stored(docs.join(members.select("id").distinct(), "id", "left_semi"))
     # A text of frequent shingles lies in the middle of a group, so it is the one to compare the others with.
     middle = F.min(F.struct("rarity", F.col("id").alias("id_a"), F.col("weight").alias("weight_a"))).alias("middle")
     heads = members.groupBy("key").agg(middle).select("key", "middle.id_a", "middle.weight_a")
     pairs = members.join(heads, "key").where("id <> id_a").where(close)
     pairs = stored(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct())
     joined = stored(components(verified(pairs, docs, idf, threshold).where("linked")))
-    # What lies in one bucket and not in one component is compared if it shares a shingle that two similar texts must share.
-    rest = unsettled(members, joined).select("id").distinct()
-    members = unsettled(repeated_keys(prefixes(docs.join(rest, "id", "left_semi"), idf, threshold)), joined)
-    links = cluster_links(members, joined, docs, idf, threshold)
+    # What lies in one bucket and not in one component may still be linked to others than the middle.
+    clusters = likely_clusters(unsettled(members, joined), joined, signed, threshold)
+    links = cluster_links(clusters, joined, docs, idf, threshold)
     return stored(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
 
 

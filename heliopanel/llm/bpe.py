@@ -44,7 +44,7 @@ STATES = 8
 #: Texts of about this many code points are scanned together.
 PASS_CHARS = 1_000_000
 CHUNK = 256
-CACHED_SLICES = 250_000
+CACHED_SLICES = 600_000
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:

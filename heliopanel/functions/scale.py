@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def to_units(c: Column, scale: int) -> Column:
-    """Whole units of 10**-scale as a long, halves away from zero. Sums of units do not depend on row order."""
+    """Whole units of 10**-scale as a long, halves away from zero; null for what is not finite or beyond a long.
+
+    Sums of units do not depend on row order.
+    """
     units = c * F.lit(float(10 ** scale))
-    return (units + F.when(units < 0, -0.5).otherwise(0.5)).cast("long")
+    return F.when(F.abs(units) < F.lit(9.2e18), (units + F.when(units < 0, -0.5).otherwise(0.5)).cast("long"))
 
 
 def from_units(units: Column, scale: int) -> Column:

@@ -128,12 +128,12 @@ def to_numeric_coerce(c: Column) -> Column:
 
 
 def convert_to_mwh(value: Column, unit: Column) -> Column:
-    """Megawatt hours rounded to 4 places; text that is no number gives 0."""
+    """Megawatt hours rounded to 4 places; text that is no number, not finite or beyond a long gives 0."""
     number = F.coalesce(to_numeric_coerce(value), F.lit(0.0))
     divisor = F.lit(1.0)
     for name, by in K.UNIT_DIVISORS.items():
         divisor = F.when(unit == name, F.lit(by)).otherwise(divisor)
-    return from_units(to_units(number / divisor, K.MWH_SCALE), K.MWH_SCALE)
+    return F.coalesce(from_units(to_units(number / divisor, K.MWH_SCALE), K.MWH_SCALE), F.lit(0.0))
 
 
 def format_fixed4(c: Column) -> Column:

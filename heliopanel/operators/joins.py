@@ -27,8 +27,8 @@ def join_alias(df: DataFrame, alias: DataFrame, plant: str = "plant", name: str
 
 
 def join_location(df: DataFrame, location: DataFrame, on: str = "canonical",
-                  order: tuple[str, ...] = ("source_file", "row_ord")) -> DataFrame:
-    """Station of each plant; the first location row of a plant counts."""
+                  order: tuple[str, ...] = ("row_ord",)) -> DataFrame:
+    """Station of each plant; the first location row of a plant counts, files in order of their full path."""
     narrow = location.select("plant", "station", "station_name", *order)
     first = dedupe_first(narrow, ["plant"], list(order)).select(
         F.col("plant").alias("_plant"), F.col("station").try_cast("bigint").alias("station"), "station_name")

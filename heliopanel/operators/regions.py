@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliopanel import constants as K
-from heliopanel.functions.scale import choropleth_alpha, exact_sum, marker_radius
+from heliopanel.functions.scale import choropleth_alpha, marker_radius
 from heliopanel.functions.text import to_canonical, display_region_name, strip, to_numeric_coerce
 from heliopanel.operators.quantiles import most_frequent
 from heliopanel.session import durable
 
-CAPACITY_SCALE = 4
 WINDOW_ROWS = 100_000
 
 
@@ -25,17 +24,22 @@ def standardise_registry(registry: DataFrame, anchored: bool = False) -> DataFra
             .filter(F.col("region") != ""))
 
 
+def total_capacity() -> Column:
+    """Sum in decimals of ten places, equal under any partitioning; what is not finite counts as missing."""
+    return F.sum(F.col("capacity").try_cast("decimal(28,10)")).cast("double")
+
+
 def region_stats(df: DataFrame) -> DataFrame:
     """Number of named generators and total capacity per region."""
     return df.groupBy("region").agg(F.count("generator").alias("plants"),
-                                    exact_sum(F.col("capacity"), CAPACITY_SCALE).alias("capacity"))
+                                    total_capacity().alias("capacity"))
 
 
 def site_stats(df: DataFrame) -> DataFrame:
     """The same per coordinate pair, with its most frequent region and subregion."""
     site = ["lat", "lon"]
     totals = df.groupBy(*site).agg(F.count("generator").alias("plants"),
-                                   exact_sum(F.col("capacity"), CAPACITY_SCALE).alias("capacity"))
+                                   total_capacity().alias("capacity"))
     return (totals.join(most_frequent(df, site, "region", "region"), site, "left")
             .join(most_frequent(df, site, "subregion", "subregion"), site, "left"))
 

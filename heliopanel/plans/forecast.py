@@ -74,12 +74,12 @@ def evaluate_saved(model: PipelineModel, meta: dict, train: DataFrame, test: Dat
                    since: str = "2024-01-01", p: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """Score a table with a saved model: metrics and flagged outliers of the totals over plants.
 
-    Only the last rows of each train series are stitched in front; they are brought to the
-    unit of the evaluated table.
+    The model is fitted in the unit of train. The evaluated table is brought to it, as it was before
+    the fit, and the last rows of each train series are stitched in front as they are.
     """
     target, keys = meta["target"], meta["keys"]
     tail = history_tail(train, keys, meta["lags"])
-    tail = tail.withColumn(target, F.col(target) / F.lit(float(meta["unit_factor"])))
+    test = X.apply_unit_factor(test, [target], float(meta["unit_factor"]))
     stacked = union_train_test({"train": tail, "test": test})
     rows = X.panel_features(stacked, target, keys, ("origin_ord",), meta["lags"], meta["roll_windows"])
     rows = rows.filter(F.col("origin") == "test")

@@ -26,8 +26,8 @@ def locate_plants(locations: DataFrame, geocode: DataFrame, stations: DataFrame)
 
 
 def training_table(generation: DataFrame, alias: DataFrame, location: DataFrame, weather: DataFrame,
-                   location_order: tuple[str, ...] = ("source_file", "row_ord"),
-                   weather_order: tuple[str, ...] = ("source_file", "row_ord"),
+                   location_order: tuple[str, ...] = ("row_ord",),
+                   weather_order: tuple[str, ...] = ("row_ord",),
                    fill: bool = True, ordered: bool = True) -> DataFrame:
     """Plant-hour energy with station and weather, missing measures 0 unless `fill` is off.
 

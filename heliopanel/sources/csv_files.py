@@ -99,12 +99,12 @@ def _literal_path(path: str) -> str:
 
 
 def read_group(spark: SparkSession, group: HeaderGroup, delimiter: str | None = None) -> DataFrame:
-    """All columns as text, plus source_file and row_ord (order of the rows in their file)."""
+    """All columns as text, plus source_file and row_ord (order by full path, then in the file)."""
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("sep", delimiter or group.delimiter).option("encoding", group.encoding)
           .csv([_literal_path(p) for p in group.paths]))
     names = df.columns
-    order = F.struct(F.col("_metadata.file_block_start").alias("block"),
+    order = F.struct(decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("line"))
     return with_source_file(df.withColumn("row_ord", order)).select(*[f"`{n}`" for n in names],
                                                                     "source_file", "row_ord")

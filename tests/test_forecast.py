@@ -51,12 +51,13 @@ def test_saved_model_scores_like_the_original(spark, run, tmp_path):
     sinks.save_model(result.model, str(tmp_path / "m"))
     sinks.write_run_meta(spark, result.meta, str(tmp_path / "meta"))
     loaded, meta = sinks.load_model(str(tmp_path / "m")), sinks.read_run_meta(spark, str(tmp_path / "meta"))
-    scaled = test.withColumn("mwh", F.col("mwh") * 100)
-    meta["unit_factor"] = 1.0
-    metrics, flagged = PF.evaluate_saved(loaded, meta, train, scaled)
+    assert meta["unit_factor"] == 100.0
+    metrics, flagged = PF.evaluate_saved(loaded, meta, train, test)
     assert metrics.first()["r2"] > 0.9 and metrics.first()["n"] == 24 * 6
+    largest = test.groupBy("ts").agg(F.sum("mwh").alias("y")).agg(F.max("y")).first()[0]
+    assert abs(flagged.agg(F.max("y_true")).first()[0] - 100 * largest) < 0.01
     assert flagged.filter("is_outlier").count() == 2
-    first, _ = PF.evaluate_saved(result.model, meta, train, scaled)
+    first, _ = PF.evaluate_saved(result.model, meta, train, test)
     assert first.first() == metrics.first()
 
 

@@ -18,8 +18,8 @@ def test_norm(spark):
 
 def test_simplify_address(spark):
     cases = {
-        "전남 여수시 소라면 죽림리 25": "전남 여수시 소라면",
-        "전라남도 여수시 소라면": "전라남도 여수시 소라면",
+        "전남 가온시 나래면 다솜리 25": "전남 가온시 나래면",
+        "전라남도 가온시 나래면": "전라남도 가온시 나래면",
         "경기 안산시 단원구 초지동 1": "안산시 단원구 초지동",
         "당진화력 자재창고 옥상 3층": "당진화력 자재창고 옥상",
         "  세종특별자치시  ": "세종특별자치시",

@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from heliopanel.functions.text import convert_to_mwh
+from heliopanel.operators.aggregates import dedupe_first
 from heliopanel.plans.training import training_table_from_files
 from heliopanel.sources import csv_files as C
 from heliopanel.sources import json_files as JF
@@ -33,14 +35,14 @@ def folder(tmp_path):
         + "2024/01/01\t1\t" + "\t".join(["1000"] * 24) + "\t5\n2024/01/01\t2\t" + "\t".join(["500"] * 24) + "\t5\n", "cp949")
     put(tmp_path / "meters/nohours.csv", "발전소명,일자\n가 태양광,2024-01-01\n")
     put(tmp_path / "meters/nodate.csv", "발전소명,1시\n가 태양광,3\n")
-    put(tmp_path / "places/p.csv", "발전소명,소재지\n가 태양광,전남 여수시 소라면 죽림리 25\n가 태양광,서울 강남구\n다 발전,없는 주소 어딘가 3\n", "cp949")
+    put(tmp_path / "places/p.csv", "발전소명,소재지\n가 태양광,전남 가온시 나래면 다솜리 25\n가 태양광,서울 강남구\n다 발전,없는 주소 어딘가 3\n", "cp949")
     put(tmp_path / "places/bad.csv", "x,y\n1,2\n")
     put(tmp_path / "stations.csv", "지점,지점명,위도,경도\n10,여수,34.7,127.7\n20,서울,37.5,127.0\n30,무,,\n", "cp949")
     put(tmp_path / "kma/OBS_ASOS_TIM_1.csv", "지점,지점명,일시,기온(°C),강수량(mm),일조(hr),일사(MJ/m2)\n"
         "10,여수,2024-01-01 00:00,1.5,,0.1,0.2\n10,여수,2024-01-01 00:30:00,9,9,9,9\n10,여수,2024-01-01 01:00:00,2.5,1,,\n", "cp949")
     put(tmp_path / "kma/OBS_ASOS_TIM_2.csv", "지점,지점명,일시\n10,여수,2024-01-01 00:00\n")
     put(tmp_path / "alias.json", json.dumps({"다 발전": "모름"}, ensure_ascii=False))
-    put(tmp_path / "geo.json", json.dumps({"전남 여수시 소라면": {"lat": 34.8, "lon": 127.6}, "쌍": [1.0, 2.0], "빈": [None, None]},
+    put(tmp_path / "geo.json", json.dumps({"전남 가온시 나래면": {"lat": 34.8, "lon": 127.6}, "쌍": [1.0, 2.0], "빈": [None, None]},
                                           ensure_ascii=False))
     return tmp_path
 
@@ -93,7 +95,7 @@ def test_listing(spark, folder):
 
 def test_json_lookups(spark, folder):
     geo = {r["address"]: (r["lat"], r["lon"]) for r in JF.read_geocode_cache(spark, str(folder / "geo.json")).collect()}
-    assert geo == {"전남 여수시 소라면": (34.8, 127.6), "쌍": (1.0, 2.0), "빈": (None, None)}
+    assert geo == {"전남 가온시 나래면": (34.8, 127.6), "쌍": (1.0, 2.0), "빈": (None, None)}
     assert JF.read_alias_map(spark, str(folder / "missing.json")).count() == 0
     assert JF.read_geocode_cache(spark, str(folder / "missing.json")).columns == ["address", "lat", "lon"]
     put(folder / "loc.json", json.dumps([{"plant": "a", "station": 3}, {"plant": "b"}]))
@@ -114,7 +116,7 @@ def test_geocode_cache_upsert(spark, folder):
     new = spark.createDataFrame([("쌍", 9.0, 9.0), ("새", 3.0, 4.0)], "address string, lat double, lon double")
     sinks.write_geocode_cache(spark, path, new)
     got = {r["address"]: r["lat"] for r in spark.read.parquet(path).collect()}
-    assert got == {"전남 여수시 소라면": 34.8, "쌍": 1.0, "빈": None, "새": 3.0}
+    assert got == {"전남 가온시 나래면": 34.8, "쌍": 1.0, "빈": None, "새": 3.0}
 
 
 def test_run_meta_and_json(spark, folder):
@@ -132,3 +134,27 @@ def test_transcode(spark, folder):
     sinks.transcode_files(spark, str(folder / "raw"), str(folder / "utf8"))
     got = spark.read.text(str(folder / "utf8"))
     assert {(r["value"], r["year"], r["month"]) for r in got.collect()} == {("이름,값", 2024, 3), ("가,1", 2024, 3)}
+
+
+def test_cells_that_are_no_finite_number_count_as_zero(spark):
+    cells = ["inf", "-Infinity", "NaN", "1e300", "-1e300", "x", None, "2500"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, raw string")
+    got = rows.select("i", convert_to_mwh(F.col("raw"), F.lit("kwh")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == [0.0] * 7 + [2.5]
+
+
+def test_new_cache_rows_are_one_per_address(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    schema = "address string, lat double, lon double"
+    sinks.write_geocode_cache(spark, path, spark.createDataFrame([("a", 2.0, 1.0), ("a", 1.0, 9.0), ("b", None, None), ("b", 3.0, 4.0), (None, 1.0, 1.0)], schema))
+    sinks.write_geocode_cache(spark, path, spark.createDataFrame([("a", 0.0, 0.0), ("c", None, None), ("c", None, None)], schema))
+    assert sorted(map(str, map(tuple, spark.read.parquet(path).collect()))) == ["('a', 1.0, 9.0)", "('b', 3.0, 4.0)", "('c', None, None)"]
+
+
+def test_location_files_count_in_order_of_their_full_path(spark, tmp_path):
+    for name, address in (("b/a.csv", "later"), ("a/z.csv", "first")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"발전소명,위치\n가,{address}\n", "utf-8")
+    rows, _ = C.read_locations(spark, str(tmp_path))
+    first = dedupe_first(rows, ["plant"], ["row_ord"]).first()
+    assert first["address"] == "first"

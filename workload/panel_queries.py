@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliopanel import constants as K
+from heliopanel.constants import SAMPLED_WINDOWS
 from heliopanel.forecast import features as X
 from heliopanel.functions import scale as C
 from heliopanel.operators import aggregates as A
@@ -176,9 +177,9 @@ def null_non_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT plant, ts, mwh FROM gen, (SELECT avg(mwh) AS m, stddev_pop(mwh) AS s FROM gen)
-WHERE abs((mwh - m) / s) < 2""", "gen")
+WHERE abs((mwh - m) / s) < 3""", "gen")
 def zscore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.zscore_filter(S.kept_generation(spark, sf_dir), "mwh", 2.0)
+    return X.zscore_filter(S.kept_generation(spark, sf_dir), "mwh", 3.0)
 
 
 @query("""
@@ -304,13 +305,12 @@ def sum_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["steps"] = """steps AS (
-    SELECT o.plant, o.pos, o.origin_ts + to_hours(CAST(o.h AS INTEGER)) AS time, o.h, t.mwh AS y_true, t.u AS yu,
-           p.mwh AS y_pred, p.u AS pu
-    FROM (SELECT plant, pos, origin_ts, unnest(range(1, 25)) AS h
-          FROM (SELECT plant, pos, n, lead(ts, 167) OVER (PARTITION BY plant ORDER BY ts) AS origin_ts FROM panel)
-          WHERE pos % 24 = 0 AND pos <= n - 192) o
-    JOIN panel t ON t.plant = o.plant AND t.pos = o.pos + 167 + o.h
-    JOIN panel p ON p.plant = o.plant AND p.pos = o.pos + 143 + o.h)"""
+    SELECT plant, pos, origin_ts + to_hours(CAST(h AS INTEGER)) AS time, h, m[24 + h] AS y_true, us[24 + h] AS yu, m[h] AS y_pred, us[h] AS pu
+    FROM (SELECT plant, pos, origin_ts, m, us, unnest(range(1, 25)) AS h
+          FROM (SELECT plant, pos, n, lead(ts, 167) OVER (PARTITION BY plant ORDER BY ts) AS origin_ts,
+                       list(mwh) OVER ahead AS m, list(u) OVER ahead AS us
+                FROM panel WINDOW ahead AS (PARTITION BY plant ORDER BY ts ROWS BETWEEN 144 FOLLOWING AND 191 FOLLOWING))
+          WHERE pos % 24 = 0 AND pos <= n - 192))"""
 
 
 def horizon_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,8 +372,12 @@ def debug_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_rows(totals, ["ts"], 10)
 
 
-@query()
+@query("SELECT true AS all_are_starts, true AS size_as_drawn")
 def sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window starts drawn with replacement; random, so only its size class can be checked."""
-    starts = W.window_starts(panel(spark, sf_dir))
-    return P.sample_with_replacement(starts.select("plant", "ts", big("pos").alias("start")), 5_000)
+    """Window starts drawn with replacement, checked by rules: each is a start, their number is near the wish."""
+    starts = W.window_starts(panel(spark, sf_dir)).select("plant", "ts", big("pos").alias("start"))
+    drawn = P.sample_with_replacement(starts, SAMPLED_WINDOWS).groupBy("plant", "start").agg(F.count("*").alias("times"))
+    known = drawn.join(starts.select("plant", "start", F.lit(True).alias("known")), ["plant", "start"], "left")
+    spread = 5 * SAMPLED_WINDOWS ** 0.5
+    return known.agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_are_starts"),
+                     F.coalesce(F.sum("times"), F.lit(0)).between(SAMPLED_WINDOWS - spread, SAMPLED_WINDOWS + spread).alias("size_as_drawn"))

@@ -14,7 +14,7 @@ from heliopanel.functions.timefx import hour_to_timestamp
 from heliopanel.operators.aggregates import sum_by_plant_hour
 
 ADDRESSES = [
-    "전남 여수시 소라면 죽림리 25", "전라남도 여수시 소라면", "경기도 광주시 오포읍 1", "경기 안산시 단원구 12",
+    "전남 가온시 나래면 다솜리 25", "전라남도 가온시 나래면", "경기도 광주시 오포읍 1", "경기 안산시 단원구 12",
     "서울특별시 강남구 역삼동 1-1", "제주 서귀포시 안덕면 화순리", "부산광역시 사하구", "당진화력 자재창고 옥상 3층",
     "강원도 동해시 구호동 9", "세종특별자치시", "인천 옹진군 영흥면 외리", "산업단지 2로",
 ]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, minhash_dedup, mixing, quality_crf, token_counts
+from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality_crf, token_counts
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,30 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_good_lines")
 
 
+@query(r"""
+WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+windows AS (
+    SELECT doc_id, pos, line, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third
+    FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (
+    SELECT doc_id, pos, line, CAST(third IS NOT NULL AND (trim(line) <> '' OR trim(second) <> '' OR trim(third) <> '')
+           AND row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id NULLS LAST, pos) > 1 AS INTEGER) AS later
+    FROM windows),
+marked AS (
+    SELECT doc_id, pos, line, max(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered
+    FROM ranked),
+kept AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (covered = 0), '') AS cleaned,
+           count(*) AS n_lines, sum(covered) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE cleaned END AS text, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed
+FROM documents d JOIN kept k ON d.doc_id = k.doc_id
+""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated three-line windows."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded again, as digests."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heliopanel.llm import queries as Q
 from heliopanel.llm.chat_format import chat_digests, format_chats
 from heliopanel.llm.exact_dedup import drop_exact_duplicates, exact_dedup
+from heliopanel.llm.line_dedup import line_dedup
 from heliopanel.llm.mixing import mix, mixed_documents
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +142,40 @@ def test_chats_match_sql_and_read_back(spark):
 def test_queries_match_check_sql(spark, name):
     from check import compare, connect
     assert compare(Q.QUERIES[name](spark, SF), connect(SF), Q.ORACLE[name]).startswith("ok")
+
+
+def brute_lines(rows):
+    """Rows (doc_id, text) with unique identifiers: cleaned texts by identifier."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        lines = (text or "").split("\n")
+        gone = set()
+        for i in range(len(lines) - 2):
+            window = tuple(lines[i:i + 3])
+            if not any(w.strip(" ") for w in window):
+                continue
+            if window in seen:
+                gone |= {i, i + 1, i + 2}
+            seen.add(window)
+        out[doc_id] = ("\n".join(w for i, w in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    import random
+    random.seed(5)
+    rows = [(i, "\n".join(random.choice("abcdefgh ") for _ in range(random.randint(0, 25)))) for i in range(80)]
+    rows += [(200, "x\ny\nz"), (201, "w\nx\ny\nz\nv"), (202, "x\ny\nz"), (203, "x\ny"), (204, ""), (205, "\n\n\n\n"), (206, "q\n" * 3000), (207, None), (None, "a\nx\ny\nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("runs", F.lit(1)).withColumn("n_lines", F.lit("old")).withColumn("key", F.lit(2))
+    out = line_dedup(df)
+    assert out.columns == ["doc_id", "text", "runs", "key", "n_lines", "n_removed"]
+    want = brute_lines(rows)
+    for r in out.collect():
+        assert (r.text or "", r.n_lines, r.n_removed) == want[r.doc_id]
+    assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc\nd"), (2, "e\nf\ng\nd")]
+    out = sorted((r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "d"), (2, "e\nf\ng\nd")]

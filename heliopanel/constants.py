@@ -19,12 +19,15 @@ METER_UNIT_NO_TOKENS = ["호기", "unit"]
 # Energy-source default, filter word, unknown plant, one corrected plant name.
 SOLAR = "태양광"
 UNKNOWN_PLANT = "미상"
-UNKNOWN_REGION = "미상"
 PLANT_CORRECTIONS = {"영암에프원태양광b": "(군산)영암F1태양광"}
 
 # Energy units, in the order they are looked for, and their divisor to MWh.
 UNIT_DIVISORS = {"mwh": 1.0, "kwh": 1_000.0, "wh": 1_000_000.0}
 
+# Hour labels, as pattern and group of the hour, and the plant in a file name.
+HOUR_LABELS = [(r"\d{1,2}\s*[-~_]\s*(\d{1,2})", 1), (r"(\d{1,2})\s*시", 1), (r"(?:^|\D)(\d{1,2})(?!\d)", 1)]
+PLANT_IN_FILE_NAME = r"\[(.*?)\]"
+
 # Column candidates for time stamps and for the forecast tables.
 DATETIME_CANDIDATES = ["일시", "datetime", "timestamp", "DATE_TIME", "date_time"]
 DATE_CANDIDATES = ["일자", "date"]

@@ -89,8 +89,8 @@ def valid_region(c: Column) -> Column:
 
 def extract_plant_name(file_name: Column) -> Column:
     """Text of the first [...] of a file name, null when there is none."""
-    found = F.regexp_extract(file_name, r"\[(.*?)\]", 1)
-    return F.when(file_name.rlike(r"\[.*?\]"), strip(found))
+    found = F.regexp_extract(file_name, K.PLANT_IN_FILE_NAME, 1)
+    return F.when(file_name.rlike(K.PLANT_IN_FILE_NAME), strip(found))
 
 
 def extract_hour(label: Column) -> Column:
@@ -100,13 +100,8 @@ def extract_hour(label: Column) -> Column:
     digits. The first rule that matches decides, even when its number is out of range.
     """
     text = F.lower(strip(label))
-    rules = [
-        (r"\d{1,2}\s*[-~_]\s*(\d{1,2})", 1),
-        (r"(\d{1,2})\s*시", 1),
-        (r"(?:^|\D)(\d{1,2})(?!\d)", 1),
-    ]
     number = F.lit(None).cast("int")
-    for pattern, group in reversed(rules):
+    for pattern, group in reversed(K.HOUR_LABELS):
         digits = F.regexp_extract(text, pattern, group)
         number = F.when(text.rlike(pattern), digits.try_cast("int")).otherwise(number)
     return F.when(number.between(1, 24), number)

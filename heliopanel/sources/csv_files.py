@@ -19,7 +19,7 @@ from heliopanel import schemas
 from heliopanel.functions import text as T
 from heliopanel.functions.timefx import hour_to_timestamp, parse_mixed_ts, strip_digits_date
 from heliopanel.operators.aggregates import union_all
-from heliopanel.operators.filters import clean_column_names, decoded_path, with_constant_default, with_source_file
+from heliopanel.operators.filters import clean_column_names, decoded_path, find_column, with_constant_default, with_source_file
 from heliopanel.operators.reshape import melt_hours
 from heliopanel.session import literal_rows
 
@@ -257,8 +257,8 @@ def read_locations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 def read_station_meta(spark: SparkSession, path: str) -> DataFrame:
     """Stations with coordinates; ord is the order in the file."""
     df = read_csv_safe(spark, path)
-    return df.select(F.col("지점").try_cast("bigint").alias("station"), F.col("지점명").alias("station_name"),
-                     T.to_numeric_coerce(F.col("위도")).alias("lat"), T.to_numeric_coerce(F.col("경도")).alias("lon"),
+    typed = {"station": lambda c: c.try_cast("bigint"), "lat": T.to_numeric_coerce, "lon": T.to_numeric_coerce}
+    return df.select(*[typed.get(new, lambda c: c)(F.col(old)).alias(new) for old, new in K.STATION_COLUMNS.items()],
                      F.col("row_ord").alias("ord")).na.drop(subset=["lat", "lon"])
 
 
@@ -295,14 +295,18 @@ def read_weather(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def read_training_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A published training table back under its canonical column names and types."""
+    """A published training table back under its canonical column names and types.
+
+    Time, plant and target may go by any of their candidate names; other columns that are missing are null.
+    """
     df = read_csv_flex(spark, path)
-    return df.select(*[_typed(F.col(f"`{old}`"), new) for new, old in K.TRAINING_COLUMNS.items()])
+    named = {"ts": K.TIME_COLUMN_CANDIDATES, "plant": K.PLANT_COLUMN_CANDIDATES, "mwh": K.TARGET_COLUMN_CANDIDATES}
+    found = {new: find_column(df.columns, named[new]) if new in named else old for new, old in K.TRAINING_COLUMNS.items()}
+    return df.select(*[_typed(F.col(f"`{old}`") if old in df.columns else F.lit(None).cast("string"), new) for new, old in found.items()])
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Generator registry exported as CSV, under canonical names."""
     df = clean_column_names(read_csv_safe(spark, path))
-    capacity = F.col("`설비용량`") if "설비용량" in df.columns else F.lit("0")
-    return df.select(F.col("발전기명").alias("generator"), F.col("광역지역").alias("region"),
-                     F.col("세부지역").alias("subregion"), capacity.alias("capacity"))
+    return df.select(*[(F.lit("0") if new == "capacity" and old not in df.columns else F.col(f"`{old}`")).alias(new)
+                       for old, new in K.REGISTRY_COLUMNS.items()])

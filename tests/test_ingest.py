@@ -158,3 +158,9 @@ def test_location_files_count_in_order_of_their_full_path(spark, tmp_path):
     rows, _ = C.read_locations(spark, str(tmp_path))
     first = dedupe_first(rows, ["plant"], ["row_ord"]).first()
     assert first["address"] == "first"
+
+
+def test_forecast_tables_may_name_their_columns_otherwise(spark, tmp_path):
+    put(tmp_path / "t.csv", "DateTime,Plant,target\n2024-01-01 05:00,a,1.5\n")
+    row = C.read_training_csv(spark, str(tmp_path / "t.csv")).first()
+    assert (row["plant"], row["mwh"], row["station"], row["ts"].hour) == ("a", 1.5, None, 5)

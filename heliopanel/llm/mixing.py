@@ -6,7 +6,8 @@ out in equal blocks of `block_words` words. Blocks go to the sources, and then t
 source, by highest quotients size / (2 seats + 1), so every shard has a whole number of blocks. A shard
 lays its documents end to end in a seeded order as a ring; from a seeded block on it takes as many words
 as its blocks hold, going round again where it is to repeat. So a document is taken a whole number of
-times, but for the documents at the two ends.
+times, but for the documents at the two ends. Where whole documents are asked for, what is taken of these
+is rounded over the whole source, so it is missed by one document at most, however long the documents are.
 
 Shards are ranges of a seeded hash of the identifier, about `shard_words` words each and 65,536 more
 than there are sources at most, so a source of any size is spread. What is kept per source and per shard is bounded by these
@@ -82,14 +83,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int
     return levels.select("source", "words", "weight", target.alias("target"))
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3),
-        most_repeats: int = 3, block_words: int = 16, shard_words: int = 65_536, seed: int = 17) -> DataFrame:
-    """All rows of `df` with size, source_size, target (both of the row's source) and taken."""
-    df = without(df, *OUTPUT)
-    names = df.columns
-    size, fine, shard, order, tie, start = fresh(df, "size", "fine", "shard", "order", "tie", "start")
-    sized = (df.withColumn(size, n_words(col(text))).withColumn(order, F.xxhash64(F.lit(seed), col(id_col)))
-             .withColumn(fine, F.pmod(F.xxhash64(F.lit(seed + 1), col(id_col)), F.lit(FINE)).cast("int")))
+def with_sizes(df: DataFrame, text: str, id_col: str, seed: int) -> tuple[DataFrame, list[str]]:
+    """`df` with its word counts and seeded hashes, and the names of these and of the columns that `laid_out` adds."""
+    inner = fresh(df, "size", "fine", "shard", "order", "tie", "start")
+    size, fine, _, order, _, _ = inner
+    return (df.withColumn(size, n_words(col(text))).withColumn(order, F.xxhash64(F.lit(seed), col(id_col)))
+            .withColumn(fine, F.pmod(F.xxhash64(F.lit(seed + 1), col(id_col)), F.lit(FINE)).cast("int"))), inner
+
+
+def shard_quotas(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3),
+                 most_repeats: int = 3, block_words: int = 16, shard_words: int = 65_536, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets and shards, and the words each shard owes."""
+    sized, (size, fine, *_) = with_sizes(df, text, id_col, seed)
     by_range = stored(sized.groupBy(col(source).alias("source"), F.col(fine).alias("fine")).agg(F.sum(size).alias("words")))
     targets = stored(source_targets(by_range.groupBy("source").agg(F.sum("words").alias("words")), weights, most_repeats))
     all_words = targets.agg(F.sum("words")).first()[0] or 0
@@ -109,8 +114,14 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str =
                       F.least(F.col("_won") * block_words, F.col("shard_words") * most_repeats).alias("quota"),
                       (F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"),
                               F.greatest(F.ceil(F.col("shard_words") / block_words), F.lit(1))) * block_words).alias("from")))
-    quotas = small(stored(quotas))
+    return sources, small(stored(quotas))
+
 
+def laid_out(df: DataFrame, sources: DataFrame, quotas: DataFrame, text: str, source: str, id_col: str, seed: int,
+             place: tuple[str, str] | None = None) -> DataFrame:
+    """All rows of `df` with the output columns, and with the row's shard and start in it, where `place` names them."""
+    names = df.columns
+    sized, (size, fine, shard, order, tie, start) = with_sizes(df, text, id_col, seed)
     # Columns of the two lookup tables get a prefix that no input column starts with.
     p = fresh(df, "m")[0]
     while any(c.lower().startswith(p) for c in df.columns):
@@ -129,13 +140,43 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str =
         return F.greatest(F.lit(0), F.least(end, high) - F.greatest(begin, low))
 
     taken = F.when(ring > 0, F.floor(quota / ring) * F.col(size) + overlap(at, F.least(at + rest, ring)) + overlap(F.lit(0), at + rest - ring)).otherwise(0)
+    where = [F.col(c).alias(name) for c, name in zip((shard, start), place or ())]
     return laid.select(*[col(c) for c in names], F.col(size).alias("size"), F.col(p + "source_size").alias("source_size"),
-                       F.col(p + "target").alias("target"), taken.cast("long").alias("taken"))
+                       F.col(p + "target").alias("target"), taken.cast("long").alias("taken"), *where)
+
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3),
+        most_repeats: int = 3, block_words: int = 16, shard_words: int = 65_536, seed: int = 17) -> DataFrame:
+    """All rows of `df` with size, source_size, target (both of the row's source) and taken."""
+    df = without(df, *OUTPUT)
+    sources, quotas = shard_quotas(df, text, source, id_col, weights, most_repeats, block_words, shard_words, seed)
+    return laid_out(df, sources, quotas, text, source, id_col, seed)
+
+
+def rounded_ends(laid: DataFrame) -> DataFrame:
+    """(source, shard, start, extra) of the documents taken in part: extra is 1 where the part counts as a whole copy.
+
+    The parts are added up over the source, by size, and a document whose part brings the sum past the next
+    half gets the copy. By size, as then the words miss those taken by the source's longest document at most.
+    A shard has two such documents at most, so a source has 2 * FINE.
+    """
+    size = F.nullif(F.col("size"), F.lit(0))
+    part = (F.col("taken") % size) / size
+    in_order = Window.partitionBy("source").orderBy("size", "shard", "start")
+    sums = (laid.where(part > 0).select("source", "shard", "start", "size", part.alias("part"))
+            .withColumn("sum", F.floor(F.sum("part").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 0.5)))
+    return sums.select("source", "shard", "start", (F.col("sum") - F.coalesce(F.lag("sum").over(in_order), F.lit(0))).alias("extra"))
 
 
-def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **settings) -> DataFrame:
-    """The mix as rows: a document appears as often as its words were taken, rounded (halves up)."""
+def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 17, **settings) -> DataFrame:
+    """The mix as rows: a document appears as often as its words were taken, parts rounded over the whole source."""
     packed = df.select(F.struct("*").alias("row"), col(text).alias("text"), col(source).alias("source"), col(id_col).alias("doc_id"))
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return (mix(packed, **settings).where(F.col("taken") > 0).withColumn("copies", copies).where("copies > 0")
+    sources, quotas = shard_quotas(packed, seed=seed, **settings)
+    names, place = ("text", "source", "doc_id"), ("shard", "start")
+    # The start tells documents with words of a shard apart, also repeated rows.
+    ends = small(stored(rounded_ends(laid_out(packed.select(*names), sources, quotas, *names, seed, place)))).alias("e")
+    laid = laid_out(packed, sources, quotas, *names, seed, place).where("taken > 0").alias("d")
+    same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.shard") == F.col("e.shard")) & (F.col("d.start") == F.col("e.start"))
+    copies = F.floor(F.col("d.taken") / F.nullif(F.col("d.size"), F.lit(0))) + F.coalesce("e.extra", F.lit(0))
+    return (laid.join(ends, same, "left").select("d.row", copies.cast("int").alias("copies")).where("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*"))

@@ -179,3 +179,17 @@ def test_line_dedup_of_repeated_rows(spark):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc\nd"), (2, "e\nf\ng\nd")]
     out = sorted((r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "d"), (2, "e\nf\ng\nd")]
+
+
+def test_mixed_documents_meet_targets_of_long_documents(spark):
+    """Documents as long as a shard: rounding each for itself drops or overfills a source."""
+    rows = [(i, "w " * (80 if i < 800 else 20 + i % 150), "a" if i % 2 else "b") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    for weights in ((1, 4), (7, 13), (5, 2)):
+        settings = {"weights": weights, "shard_words": 64}
+        targets = {r.source: r.target for r in mix(df, **settings).select("source", "target").distinct().collect()}
+        got = collections.Counter()
+        for r in mixed_documents(df, **settings).collect():
+            got[r.source] += len(r.text.split())
+        for s, target in targets.items():
+            assert abs(got[s] - target) <= 170 + 16, (weights, s, got[s], target)

@@ -4,9 +4,9 @@ The pages of a host are merged into one tree of element paths (tag and classes).
 entropies over the host's pages, with the number of pages that have the path as the base of the logarithm:
 how much the sequence of its children varies (presentation), and how spread its texts are (content: a text
 of one page counts 1, a text of all pages 0). Their weighted sum is the importance of the branch. Then each
-page drops its low branches. Names speak where a host has few pages: navigation, headers, footers, asides,
-forms, scripts and the like are dropped by tag, class, id or role, and an article or main element is kept
-but for its branches that hardly vary at all.
+page drops its low branches. Navigation, headers, footers, asides, forms, scripts and the like are
+dropped by tag, and by class, id or role unless the branch holds an article or main element or is important on
+the host in spite of its name. An article or main element is kept but for its branches that hardly vary at all.
 
 The text is that of the remaining blocks: character references decoded, white space inside a block one
 space, blocks joined by line breaks, a br ends a block. Null and empty pages give an empty text; pages
@@ -59,6 +59,19 @@ NOISE_NAME = re.compile(
     r"ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|replies|respond|"
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|breadcrumb|breadcrumbs|pagination|pager|widget|"
     r"complementary|contentinfo|alert|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Names of headers, which are no noise inside an article, as the tag is none.
+HEADER_NAME = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+#: From this importance on a name does not drop a branch. Pages are added that would lower it: for a name that
+#: is the whole word, and for one that is a part of it (with-sidebar).
+HIGH, WHOLE_PAGES, PART_PAGES = 0.8, 8, 0.25
+
+
+@dataclass(eq=False)
+class Name:
+    """A branch that its class, id, role or itemprop calls noise; `whole` where a word of it says nothing else."""
+    path: int
+    whole: bool
+    holds_article: bool = False
 
 
 @dataclass
@@ -68,6 +81,7 @@ class Element:
     above: tuple[int, ...]
     noise: bool
     article: bool
+    names: tuple[Name, ...] = ()
     children: list[str] = field(default_factory=list)
 
 
@@ -77,6 +91,7 @@ class Block:
     noise: bool
     article: bool
     text: str
+    names: tuple[Name, ...] = ()
 
 
 @lru_cache(maxsize=100_000)
@@ -95,7 +110,7 @@ def parsed(source: str) -> tuple[list[Block], list[tuple[int, str]]]:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
                 top = stack[-1]
-                blocks.append(Block((*top.above, top.path), top.noise, top.article, text))
+                blocks.append(Block((*top.above, top.path), top.noise, top.article, text, top.names))
             words.clear()
 
     def pop() -> None:
@@ -149,17 +164,26 @@ def parsed(source: str) -> tuple[list[Block], list[tuple[int, str]]]:
         parent = stack[-1]
         values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found["attributes"])} if found["attributes"] else {}
         named = " ".join(values.get(k, "") for k in ("class", "id", "role", "itemprop"))
-        article = parent.article or tag in ("article", "main") or values.get("role") in ("main", "article")
-        noise = parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.article or bool(
-            named.strip() and tag not in ("body", "html") and NOISE_NAME.search(named)) or "hidden" in values or values.get("aria-hidden") == "true"
+        main = tag in ("article", "main") or values.get("role") in ("main", "article")
+        article = parent.article or main
+        if main:
+            for element in stack:
+                for name in element.names:
+                    name.holds_article = True
+        noise = parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.article or "hidden" in values or values.get("aria-hidden") == "true"
+        words_of = [w for w in named.split() if NOISE_NAME.search(w) and not (article and HEADER_NAME.search(w))]
+        called = bool(words_of) and not main and tag not in ("body", "html")
+        noise = noise or called and inline
         if inline:
             if noise and not parent.noise:
                 flush()
-            stack.append(Element(tag, parent.path, parent.above, noise, article))
+            stack.append(Element(tag, parent.path, parent.above, noise, article, parent.names))
         else:
             parent.children.append(tag)
             name = f"{tag}.{'.'.join(sorted(values.get('class', '').split()))}"
-            stack.append(Element(tag, child_path(parent.path, name), (*parent.above, parent.path), noise, article))
+            path = child_path(parent.path, f"{name}!" if called else name)
+            names = (*parent.names, Name(path, any(NOISE_NAME.fullmatch(w) for w in words_of))) if called else parent.names
+            stack.append(Element(tag, path, (*parent.above, parent.path), noise, article, names))
     flush()
     while len(stack) > 1:
         pop()
@@ -167,10 +191,13 @@ def parsed(source: str) -> tuple[list[Block], list[tuple[int, str]]]:
 
 
 def branches(source: str) -> set[tuple[int, str, int]]:
-    """(path, kind, feature) of a page, each once: kind P the path itself, T a text in its branch, S its child sequence."""
+    """(path, kind, feature) of a page, each once: kind P the path itself, T a text in its branch, S its child sequence, N that its name (1: whole word) is one of noise."""
     blocks, styles = parsed(source)
     found = set()
     for block in blocks:
+        if block.noise:
+            continue
+        found.update((n.path, "N", int(n.whole)) for n in block.names)
         text = xxhash.xxh64_intdigest(block.text) - (1 << 63)
         for path in block.paths:
             found.add((path, "T", text))
@@ -180,10 +207,14 @@ def branches(source: str) -> set[tuple[int, str, int]]:
     return found
 
 
-def main_text(source: str, low: set[int], fixed: set[int]) -> str:
-    """Text of a page without its low branches (of an article: its fixed ones)."""
+def main_text(source: str, low: set[int], fixed: set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of a page without its low branches (of an article: its fixed ones), nor those with a name of noise unless they are high or hold an article."""
     blocks, _ = parsed(source)
-    kept = [b for b in blocks if not b.noise]
+    found = [b for b in blocks if not b.noise]
+    kept = [b for b in found if not any(not n.holds_article and n.path not in high for n in b.names)]
+    if not kept:
+        # Names alone would leave nothing: those that are whole words count then.
+        kept = [b for b in found if not any(n.whole and not n.holds_article and n.path not in high for n in b.names)]
     article = [b for b in kept if b.article]
     chosen, dropped = (article, fixed) if article else (kept, low)
     left = [b for b in chosen if not dropped.intersection(b.paths)]
@@ -192,7 +223,7 @@ def main_text(source: str, low: set[int], fixed: set[int]) -> str:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """From (host, html): (host, path, pages, importance)."""
+    """From (host, html): (host, path, pages, importance, named): named 1 for a name of noise, 2 for a whole word, 0 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,30 +242,36 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     spread = F.col("n") * F.ln("n")
     sums = counted.groupBy("host", "path").agg(over("P", F.col("n")).alias("pages"), over("T", F.col("n")).alias("texts"), over("T", spread).alias("same_texts"),
-                                               over("S", F.col("n")).alias("styles"), over("S", spread).alias("same_styles"))
+                                               over("S", F.col("n")).alias("styles"), over("S", spread).alias("same_styles"),
+                                               F.max(F.when(F.col("kind") == "N", F.col("feature") + 1)).alias("named"))
     base = F.ln("pages")
     content = 1 - F.col("same_texts") / (F.col("texts") * base)
     presentation = F.least(F.lit(1.0), (F.ln("styles") - F.col("same_styles") / F.col("styles")) / base)
     importance = CONTENT_SHARE * content + (1 - CONTENT_SHARE) * F.coalesce(presentation, F.lit(0.0))
-    return sums.where("pages > 1 and texts > 0").select("host", "path", F.col("pages").cast("long").alias("pages"), importance.alias("importance"))
+    return sums.where("pages > 1 and texts > 0").select("host", "path", F.col("pages").cast("long").alias("pages"), importance.alias("importance"),
+                                                       F.coalesce("named", F.lit(0)).alias("named"))
 
 
 def extract_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """All rows with text and n_chars."""
-    source_at = fresh(df, "html", "host", "key", "low", "fixed")
-    html_, host, key, low, fixed = source_at
+    source_at = fresh(df, "html", "host", "key", "low", "fixed", "high")
+    html_, host, key, low, fixed, high = source_at
     rows = (df.withColumn(html_, col(html)).withColumn(host, F.lower(F.coalesce(F.regexp_extract(col(url), r"^[^:/?#]+://([^/?#]*)", 1), F.lit("")))))
     rows = without(rows, *OUTPUT)
     tree = style_tree(rows.select(F.col(host).alias("host"), F.col(html_).alias("html")))
-    dropped = stored(tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).groupBy(F.col("host").alias(key)).agg(
-        F.collect_list("path").alias(low), F.collect_list(F.when(F.col("importance") < FIXED, F.col("path"))).alias(fixed)))
+    sure = (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)
+    lowered = F.col("importance") * F.col("pages") / (F.col("pages") + F.when(F.col("named") == 2, WHOLE_PAGES).otherwise(PART_PAGES))
+    rescued = (F.col("named") > 0) & (lowered >= HIGH)
+    dropped = stored(tree.where(sure | rescued).groupBy(F.col("host").alias(key)).agg(
+        F.collect_list(F.when(sure, F.col("path"))).alias(low), F.collect_list(F.when(sure & (F.col("importance") < FIXED), F.col("path"))).alias(fixed),
+        F.collect_list(F.when(rescued, F.col("path"))).alias(high)))
     joined = rows.join(dropped, F.col(host) == F.col(key), "left").drop(host, key)
-    outer = [f for f in joined.schema.fields if f.name not in (html_, low, fixed)]
+    outer = [f for f in joined.schema.fields if f.name not in (html_, low, fixed, high)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(s or "", set(a or ()), set(b or ())) for s, a, b in zip(
-                batch.column(html_).to_pylist(), batch.column(low).to_pylist(), batch.column(fixed).to_pylist())]
+            texts = [main_text(s or "", set(a or ()), set(b or ()), set(c or ())) for s, a, b, c in zip(
+                batch.column(html_).to_pylist(), batch.column(low).to_pylist(), batch.column(fixed).to_pylist(), batch.column(high).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in outer], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*[f.name for f in outer], *OUTPUT])
 

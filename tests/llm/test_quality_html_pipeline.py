@@ -72,6 +72,24 @@ def test_page_text(body, text):
     assert H.main_text(page(body), set(), set()) == text
 
 
+NAMED = [
+    ("<div class='layout with-sidebar'><div class=sidebar>s</div><article><p>a</p></article></div>", "a"),
+    ("<div class='no-sidebar'><p>a</p></div>", "a"), ("<article class='social-science'><p>a</p></article>", "a"),
+    ("<article><div class='post-header'><h1>H</h1></div><p>a</p><div class='share'>s</div></article>", "H\na"),
+]
+
+
+@pytest.mark.parametrize("body, text", NAMED)
+def test_names_drop_no_articles(body, text):
+    assert H.main_text(page(body), set(), set()) == text
+
+
+def test_names_drop_no_important_branch(spark):
+    rows = [(i, f"https://a.example/{i}", page(f"<div class='no-sidebar'><p>text {i}</p></div><div class=sidebar>same</div><div class=x>end {i}</div>")) for i in range(5)]
+    out = H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 5 and all(r.text == f"text {r.page_id}\nend {r.page_id}" for r in out)
+
+
 def test_tree_drops_what_pages_share(spark):
     words = np.array([f"w{i}" for i in range(500)])
     rng = np.random.default_rng(3)

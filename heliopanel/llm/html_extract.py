@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree of element paths (tag and classes). Each path gets two
 entropies over the host's pages, with the number of pages that have the path as the base of the logarithm:
 how much the sequence of its children varies (presentation), and how spread its texts are (content: a text
-of one page counts 1, a text of all pages 0). Their weighted sum is the importance of the branch. Then each
-page drops its low branches. Navigation, headers, footers, asides, forms, scripts and the like are
+of one page counts 1, a text of all pages 0). Their weighted sum is the importance of the branch, smoothed by
+the number of pages; a path of a single page has none. Then each page drops its low branches. Navigation, headers, footers, asides, forms, scripts and the like are
 dropped by tag, and by class, id or role unless the branch holds an article or main element or is important on
 the host in spite of its name. An article or main element is kept but for its branches that hardly vary at all.
 
@@ -37,8 +37,8 @@ OUTPUT = ("text", "n_chars")
 CONTENT_SHARE = 0.9
 #: Branches below are dropped: outside an article, and inside one.
 LOW, FIXED = 0.3, 0.05
-#: Hosts with fewer pages say nothing about importance.
-LEAST_PAGES = 8
+#: Importances count as if so many pages more had the branch, with the neutral importance.
+SMOOTH_PAGES, NEUTRAL = 0.25, 0.5
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S)
@@ -259,11 +259,11 @@ def extract_text(df: DataFrame, html: str = "html", url: str = "url") -> DataFra
     rows = (df.withColumn(html_, col(html)).withColumn(host, F.lower(F.coalesce(F.regexp_extract(col(url), r"^[^:/?#]+://([^/?#]*)", 1), F.lit("")))))
     rows = without(rows, *OUTPUT)
     tree = style_tree(rows.select(F.col(host).alias("host"), F.col(html_).alias("html")))
-    sure = (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)
+    smooth = (F.col("importance") * F.col("pages") + NEUTRAL * SMOOTH_PAGES) / (F.col("pages") + SMOOTH_PAGES)
     lowered = F.col("importance") * F.col("pages") / (F.col("pages") + F.when(F.col("named") == 2, WHOLE_PAGES).otherwise(PART_PAGES))
     rescued = (F.col("named") > 0) & (lowered >= HIGH)
-    dropped = stored(tree.where(sure | rescued).groupBy(F.col("host").alias(key)).agg(
-        F.collect_list(F.when(sure, F.col("path"))).alias(low), F.collect_list(F.when(sure & (F.col("importance") < FIXED), F.col("path"))).alias(fixed),
+    dropped = stored(tree.where((smooth < LOW) | rescued).groupBy(F.col("host").alias(key)).agg(
+        F.collect_list(F.when(smooth < LOW, F.col("path"))).alias(low), F.collect_list(F.when(smooth < FIXED, F.col("path"))).alias(fixed),
         F.collect_list(F.when(rescued, F.col("path"))).alias(high)))
     joined = rows.join(dropped, F.col(host) == F.col(key), "left").drop(host, key)
     outer = [f for f in joined.schema.fields if f.name not in (html_, low, fixed, high)]

@@ -90,6 +90,14 @@ def test_names_drop_no_important_branch(spark):
     assert len(out) == 5 and all(r.text == f"text {r.page_id}\nend {r.page_id}" for r in out)
 
 
+@pytest.mark.parametrize("pages", [2, 7, 8])
+def test_tree_speaks_from_two_pages_on(spark, pages):
+    rows = [(i, f"https://a.example/{i}", page(f"<div class=x1>Start | About</div><div class=x2><p>text {i}</p></div><div class=x3>All rights</div>")) for i in range(pages)]
+    rows.append((100, "https://b.example/", rows[0][2]))
+    out = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"text {i}" for i in range(pages)} | {100: "Start | About\ntext 0\nAll rights"}
+
+
 def test_tree_drops_what_pages_share(spark):
     words = np.array([f"w{i}" for i in range(500)])
     rng = np.random.default_rng(3)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality_crf, token_counts
+from heliopanel.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality_crf, token_counts, warc, whitening
 from heliopanel.llm.common import table
 
 QUERIES: dict = {}
@@ -154,3 +154,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts by content sort."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+ranked AS (SELECT page_id, payload, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM ranked
+""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives and read back."""
+    found = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings projected on their four largest components, each of variance one."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

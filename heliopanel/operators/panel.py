@@ -247,6 +247,17 @@ def window_starts(panel: Panel, seq_len: int = SEQ_LEN, horizon: int = HORIZON,
     return panel.rows.filter(_start_filter(F.col("pos"), F.col("n"), seq_len + horizon, step, limit))
 
 
+def window_chunks(panel: Panel, features: Sequence[str], target: str, length: int) -> tuple[DataFrame, int]:
+    """Keys, `_chunk`, n and `_rows`: the rows of each chunk and those that its windows of `length` rows reach, in order."""
+    chunked, size = panel.chunks(after=length - 1)
+    cell = F.struct(F.col("pos").alias("pos"), F.col(panel.ts).alias("ts"),
+                    F.struct(*[F.col(c) for c in features]).alias("x"), F.col(target).alias("y"))
+    grouped = (chunked.filter(F.col("pos").isNotNull())
+               .groupBy(*panel.keys, "_chunk")
+               .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(cell)).alias("_rows")))
+    return grouped, size
+
+
 def sequence_windows(panel: Panel, features: Sequence[str], target: str, seq_len: int = SEQ_LEN,
                      horizon: int = HORIZON, step: int = 1, limit: int | None = None) -> DataFrame:
     """One row per start: `x` (seq_len feature structs), `y` (the next `horizon` targets).
@@ -255,12 +266,7 @@ def sequence_windows(panel: Panel, features: Sequence[str], target: str, seq_len
     chunk size + window rows; windows are slices of it, made only for the kept starts.
     """
     length = seq_len + horizon
-    chunked, size = panel.chunks(after=length - 1)
-    cell = F.struct(F.col("pos").alias("pos"), F.col(panel.ts).alias("ts"),
-                    F.struct(*[F.col(c) for c in features]).alias("x"), F.col(target).alias("y"))
-    grouped = (chunked.filter(F.col("pos").isNotNull())
-               .groupBy(*panel.keys, "_chunk")
-               .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(cell)).alias("_rows")))
+    grouped, size = window_chunks(panel, features, target, length)
     first = F.col("_chunk") * size
     first_start = F.ceil(first / step) * step
     last_start = F.least(first + size - 1, F.col("n") - length)

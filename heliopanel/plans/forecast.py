@@ -1,21 +1,25 @@
-"""Train, score and evaluate: boosted trees on panel features and direct multi-step forecasts."""
+"""Train, score and evaluate: boosted trees on panel features and direct multi-step forecasts.
+
+Predictions of a boosted run flag the rows whose lags are all there as `complete`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliopanel import constants as K
 from heliopanel.forecast import features as X
 from heliopanel.forecast import models as M
+from heliopanel.forecast.windows import StepModel, Windows, fit_mixed_loss, fit_steps
 from heliopanel.operators.aggregates import union_train_test
 from heliopanel.operators.evaluate import regression_metrics
 from heliopanel.operators.filters import first_rows
-from heliopanel.operators.panel import Panel, add_lags, history_tail, sequence_windows
+from heliopanel.operators.panel import Panel, add_lags, history_tail
 
 CALENDAR = ["hour", "dayofweek", "month", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos"]
 
@@ -63,11 +67,12 @@ def train_boosted(train: DataFrame, test: DataFrame, target: str = "mwh", keys:
     keep = ["ts", *keys, F.col(target).alias("y_true")]
     checked = M.predict(model, check_rows, keep)
     scored = M.predict(model, test_rows, [*keep, complete.alias("complete")])
+    scored = scored.select("ts", *keys, "y_true", "y_pred", "complete")
     meta = {"target": target, "keys": list(keys), "lags": lag_max, "roll_windows": list(windows),
             "validation_days": validation_days, "numeric": numeric, "categorical": list(categorical),
             "unit_factor": factor["factor"], "options": {k: str(v) for k, v in tree_options.items()}}
     return BoostedRun(model, factor, regression_metrics(checked),
-                      regression_metrics(scored.filter("complete")), scored.drop("complete"), meta)
+                      regression_metrics(scored.filter("complete")), scored, meta)
 
 
 def evaluate_saved(model: PipelineModel, meta: dict, train: DataFrame, test: DataFrame,
@@ -87,23 +92,12 @@ def evaluate_saved(model: PipelineModel, meta: dict, train: DataFrame, test: Dat
     return M.evaluate_scored(scored, since, p)
 
 
-def multi_horizon_rows(df: DataFrame, target: str = "mwh", keys: Sequence[str] = ("plant",),
-                       exogenous: Sequence[str] = (), step: int = K.HORIZON, limit: int | None = None,
-                       tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Rows for direct multi-step regression from the sequence windows of every plant."""
-    panel = Panel(df, keys, tiebreak=tiebreak)
-    windows = sequence_windows(panel, [target, *exogenous], target, step=step, limit=limit)
-    return M.horizon_rows(windows, keys, target, exogenous)
-
-
-def fit_multi_horizon(rows: DataFrame, estimator=None) -> PipelineModel:
-    """One pooled model for all forecast steps on the log scale."""
-    names = M.horizon_features(rows)
-    stages = M.impute_encode(rows, names, ())
-    return Pipeline(stages=[*stages, estimator or M.linear_horizon_model()]).fit(rows)
+def fit_multi_horizon(df: DataFrame, target: str = "mwh", keys: Sequence[str] = ("plant",), until: str | None = None,
+                      seq_len: int = K.SEQ_LEN, horizon: int = K.HORIZON, mixed: bool = False) -> tuple[Windows, StepModel]:
+    """All windows of every series, and one model a step over the flattened history of those before `until`.
 
-
-def score_multi_horizon(model: PipelineModel, rows: DataFrame, keys: Sequence[str] = ("plant",)) -> DataFrame:
-    """Truth and prediction per plant, window and step."""
-    scored = M.with_prediction_from_log(model.transform(rows))
-    return scored.select(*keys, "start", "origin_ts", "h", "y_true", "y_pred")
+    `mixed` minimises 0.7 weighted RMSE + 0.3 Huber loss with the peak steps weighted, else squares.
+    """
+    windows = Windows.of(df, target, keys, seq_len, horizon).stored()
+    fit = windows.between(until=until)
+    return windows, fit_mixed_loss(fit)[0] if mixed else fit_steps(fit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliopanel.forecast import features as X
 from heliopanel.forecast import models as M
+from heliopanel.forecast import windows as W
 from heliopanel.operators.evaluate import regression_metrics
 from heliopanel.plans import forecast as PF
 from heliopanel.sources import sinks
@@ -69,43 +70,44 @@ def test_an_unseen_category_and_gaps_can_be_scored(spark):
     assert list(got[0]["features"].toArray()[1:]) == [0.0, 0.0]
 
 
-def test_multi_horizon_beats_persistence_and_weights_the_peak(spark):
-    df = spark.createDataFrame(solar(24 * 20), SCHEMA)
-    rows = PF.multi_horizon_rows(df).cache()
-    assert rows.count() == 2 * 24 * len(range(0, 24 * 20 - 191, 24))
-    weights = {r["h"]: r["weight"] for r in rows.select("h", "weight").distinct().collect()}
-    assert sorted(h for h, w in weights.items() if w == 6.0) == list(range(9, 19))
-    one = rows.filter("plant = 'a' and start = 24 and h = 5").first()
+def test_multi_horizon_beats_persistence(spark):
+    draw = random.Random(3)
+    noisy = [(t, p, round(v + 8 * draw.random(), 4)) for t, p, v in solar(24 * 16)]
+    df = spark.createDataFrame(noisy, SCHEMA)
+    until = (START + dt.timedelta(hours=24 * 14)).isoformat()
+    for mixed in (False, True):
+        windows, model = PF.fit_multi_horizon(df, until=until, seq_len=48, mixed=mixed)
+        assert model.n == 2 * len(range(24 * 16 - 72 + 1)) - 2 * len(range(24 * 14 - 47, 24 * 16 - 72 + 1))
+        scored = W.score_steps(model, windows.between(since=until)).cache()
+        assert scored.count() == 2 * 24 * len(range(24 * 14 - 47, 24 * 16 - 72 + 1))
+        ours, before = (regression_metrics(scored, prediction=c).first() for c in ("y_pred", "y_before"))
+        assert ours["rmse"] < before["rmse"] and ours["r2"] > 0.7
     y = [r["mwh"] for r in df.filter("plant = 'a'").orderBy("ts").collect()]
-    assert one["y_true"] == y[24 + 168 + 4] and one["day_1"] == pytest.approx(math.log1p(y[24 + 144 + 4]))
-    assert one["day_7"] == pytest.approx(math.log1p(y[24 + 4]))
-    scored = PF.score_multi_horizon(PF.fit_multi_horizon(rows), rows)
-    model = regression_metrics(scored).first()
-    persistence = regression_metrics(rows.select("y_true", F.expm1("day_1").alias("y_pred"))).first()
-    assert model["rmse"] < persistence["rmse"] and model["r2"] > 0.8
-    huber = PF.score_multi_horizon(PF.fit_multi_horizon(rows, M.linear_horizon_model(huber=True)), rows)
-    assert regression_metrics(huber).first()["r2"] > 0.8
-
-
-def test_search_ensemble_and_attribution(spark):
-    rows = PF.multi_horizon_rows(spark.createDataFrame(solar(24 * 14), SCHEMA))
-    names = M.horizon_features(rows)
-    table = Pipeline(stages=M.impute_encode(rows, names, ())).fit(rows).transform(rows).cache()
-    search = M.tune(table, trials=2, rounds=2)
-    assert len(search.validationMetrics) == 2 and search.validationMetrics[0] != search.validationMetrics[1]
-    models = [M.boosted_trees("log_y", rounds=2, depth=2, seed=s, prediction="log_pred").fit(table) for s in (1, 2)]
-    both = M.ensemble_mean(models, table).orderBy("plant", "start", "h").limit(5).collect()
-    single = [m.transform(table).orderBy("plant", "start", "h").limit(5).collect() for m in models]
+    one = scored.filter("plant = 'a' and start = 290 and h = 5").first()
+    assert one["y_true"] == y[290 + 48 + 4] and one["y_before"] == y[290 + 48 + 4 - 24]
+
+
+def assembled(spark, rows):
+    table = X.panel_features(spark.createDataFrame(rows, SCHEMA), keys=["plant"], lag_max=3, windows=(4,)).na.drop(subset=["lag_3"])
+    names = ["lag_1", "lag_2", "lag_3", "hour"]
+    last_day = F.col("ts") >= F.lit(START + dt.timedelta(hours=24 * 5)).cast("timestamp_ntz")
+    return Pipeline(stages=M.impute_encode(table, names, ())).fit(table).transform(table).withColumn("check", last_day).cache()
+
+
+def test_search_and_ensemble(spark):
+    table = assembled(spark, solar(24 * 6))
+    best, trials = M.tune(table, "check", trials=5, rounds=9)
+    found = trials.orderBy("error").collect()
+    assert [r["rounds"] for r in found].count(1) == 2 and sorted(r["rounds"] for r in found)[2:] == [2, 4, 8]
+    winner = [r for r in found if r["best"]]
+    assert len(winner) == 1 and winner[0]["rounds"] == 8 and len(best.model.trees) == 8
+    scored = best.transform(table.filter("check")).select(F.col("mwh").alias("y_true"), "y_pred")
+    assert regression_metrics(scored).first()["rmse"] == pytest.approx(winner[0]["error"])
+    models = [M.boosted_trees(rounds=2, depth=2, seed=s).fit(table) for s in (1, 2)]
+    both = M.ensemble_mean(models, table).orderBy("plant", "ts").limit(5).collect()
+    single = [m.transform(table).orderBy("plant", "ts").limit(5).collect() for m in models]
     for i, row in enumerate(both):
-        assert row["log_pred"] == pytest.approx((single[0][i]["log_pred"] + single[1][i]["log_pred"]) / 2)
-    linear = M.linear_horizon_model().fit(table)
-    shares = {r["feature"]: r["contribution"] for r in M.attribution(linear, table, table, names).collect()}
-    pdf = table.select(*names).toPandas()
-    for i, name in enumerate(names):
-        want = abs(linear.coefficients[i] * (pdf[name] - pdf[name].mean())).mean()
-        assert shares[name] == pytest.approx(want, abs=1e-9)
-    assert M.tree_importance(models[0], spark, names).count() == len(names)
-    assert M.RawScaleMse().evaluate(linear.transform(table)) >= 0
+        assert row["y_pred"] == pytest.approx((single[0][i]["y_pred"] + single[1][i]["y_pred"]) / 2)
 
 
 def test_train_by_year(spark):

@@ -101,12 +101,24 @@ def replace_values(df: DataFrame, column: str, mapping: dict[str, str]) -> DataF
     return df.replace(mapping, subset=[column])
 
 
-def sample_with_replacement(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """About `rows` rows drawn with replacement."""
+def sample_with_replacement(df: DataFrame, rows: int, order: Sequence[str], seed: int = 42) -> DataFrame:
+    """Exactly `rows` rows drawn with replacement; the same ones for the same table, order and seed.
+
+    Draw k takes the row whose number in the order is a hash of k and the seed, so a draw needs no other: draws of one
+    row are counted before the shuffle, and rows and draws meet by number. Rows that are equal in the order
+    are numbered in any way. An empty table gives no rows.
+    """
+    from heliopanel.operators.regions import with_row_number
+
     total = df.count()
     if total == 0:
         return df
-    return df.sample(withReplacement=True, fraction=rows / total, seed=seed)
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % total + 1
+    draws = df.sparkSession.range(rows).groupBy(number.alias("_number")).agg(F.count("*").cast("int").alias("_times"))
+    numbered = with_row_number(df, [F.asc(c) for c in order], "_number")
+    drawn = numbered.join(draws, "_number").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return drawn.select(*df.columns)
 
 
 def find_column(columns: Sequence[str], candidates: Sequence[str]) -> str:

@@ -162,6 +162,19 @@ def test_small_operators(spark):
     assert P.replace_values(df, "k", {"a": "z"}).filter("k = 'z'").count() == 1
     hot = reshape.one_hot_columns(df, "s", reshape.one_hot_fit(df, "s"))
     assert rows(hot.select("k", "`s=x`"), "k") == [("a", 0), ("b", 1)]
+    table = reshape.category_table(df, "k")
+    assert rows(table, "index") == [("a", 0), ("b", 1)]
+    more = spark.createDataFrame([("b",), ("c",), (None,), ("b",)], "k string")
+    assert sorted(map(tuple, reshape.one_hot_sparse(more, "k", table).collect()), key=str) == [("b", 1, 1), ("b", 1, 1), ("c", None, 0), (None, None, 0)]
+
+
+def test_draws_are_exact_and_repeatable(spark):
+    df = spark.range(40).withColumn("v", F.col("id") * 2)
+    draws = [sorted(r.id for r in P.sample_with_replacement(d, 1000, ["id"], seed=s).collect()) for d, s in ((df, 1), (df.repartition(5), 1), (df, 2))]
+    assert len(draws[0]) == 1000 and draws[0] == draws[1] != draws[2]
+    counts = [draws[0].count(i) for i in range(40)]
+    assert sum((c - 25) ** 2 / 25 for c in counts) < 80 and P.sample_with_replacement(df, 1000, ["id"]).columns == ["id", "v"]
+    assert P.sample_with_replacement(df.filter("id < 0"), 10, ["id"]).count() == 0 and P.sample_with_replacement(df, 0, ["id"]).count() == 0
 
 
 def test_detect_datetime(spark):

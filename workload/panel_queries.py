@@ -220,6 +220,19 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.one_hot_columns(unseen, "segment", categories).drop("segment")
 
 
+@query("""
+WITH known AS (
+    SELECT value, row_number() OVER (ORDER BY value) - 1 AS index
+    FROM (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS value FROM lineitem WHERE l_returnflag <> 'R'))
+SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS line, index AS orderkey_index, CAST(index IS NOT NULL AS INTEGER) AS orderkey_value
+FROM lineitem LEFT JOIN known ON value = CAST(l_orderkey AS VARCHAR)""")
+def one_hot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of more than 10,000 values (from sf0.01 on) as index and value; orders with returned lines only are unseen."""
+    rows = S.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), big("l_linenumber").alias("line"), "l_returnflag")
+    categories = reshape.category_table(rows.filter("l_returnflag <> 'R'"), "orderkey")
+    return reshape.one_hot_sparse(rows, "orderkey", categories).select("orderkey", "line", big("orderkey_index").alias("orderkey_index"), "orderkey_value")
+
+
 @query("SELECT min(mwh) AS min, round(quantile_cont(mwh, 0.5), 6) AS q50, max(mwh) AS max FROM gen", "gen")
 def scale_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.scale_summary(S.kept_generation(spark, sf_dir), "mwh").withColumn("q50", rounded("q50", 6))
@@ -372,12 +385,15 @@ def debug_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_rows(totals, ["ts"], 10)
 
 
-@query("SELECT true AS all_are_starts, true AS size_as_drawn")
+@query(f"""
+, starts AS (SELECT plant, ts, pos, row_number() OVER (ORDER BY plant, ts) AS number, count(*) OVER () AS total FROM panel WHERE pos <= n - 192),
+draws AS (
+    SELECT CAST('0x' || substr(md5(CAST(k AS VARCHAR) || ':42'), 1, 15) AS BIGINT) % (SELECT any_value(total) FROM starts) + 1 AS number, count(*) AS times
+    FROM range({SAMPLED_WINDOWS}) t(k) GROUP BY 1)
+SELECT plant, pos AS start, times FROM starts JOIN draws USING (number)""", "gen", "panel")
 def sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window starts drawn with replacement, checked by rules: each is a start, their number is near the wish."""
+    """Exactly the wanted number of window starts drawn with replacement, and how often each was."""
     starts = W.window_starts(panel(spark, sf_dir)).select("plant", "ts", big("pos").alias("start"))
-    drawn = P.sample_with_replacement(starts, SAMPLED_WINDOWS).groupBy("plant", "start").agg(F.count("*").alias("times"))
-    known = drawn.join(starts.select("plant", "start", F.lit(True).alias("known")), ["plant", "start"], "left")
-    spread = 5 * SAMPLED_WINDOWS ** 0.5
-    return known.agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("all_are_starts"),
-                     F.coalesce(F.sum("times"), F.lit(0)).between(SAMPLED_WINDOWS - spread, SAMPLED_WINDOWS + spread).alias("size_as_drawn"))
+    return P.sample_with_replacement(starts, SAMPLED_WINDOWS, ["plant", "ts"]).groupBy("plant", "start").agg(F.count("*").alias("times"))
+
+

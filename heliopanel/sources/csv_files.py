@@ -1,17 +1,20 @@
 """Delimited files with unknown encoding, delimiter and header.
 
-One distributed pass over the raw lines finds the encoding (UTF-8 when every line is valid
-UTF-8, else cp949), the delimiter and the header of each file. Files that agree on all three
+The first bytes of each file give its delimiter and header, one distributed pass over the raw lines its encoding (UTF-8
+when every line is valid UTF-8, else cp949). Files that agree on all three
 form a group, and a group is read with a single multi-path scan.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote, unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliopanel import constants as K
@@ -63,31 +66,79 @@ def sniff_delimiter(head: Column) -> Column:
     return F.when(_byte_count(start, ",") >= _byte_count(start, "\t"), F.lit(",")).otherwise(F.lit("\t"))
 
 
+def _opened(path: str):
+    """A file for reading by offset; paths are decoded ones."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[len("file:"):].lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/"))
+    return system.open_input_file(inner)
+
+
+def _head_of(path: str) -> bytes:
+    """The first SNIFF_BYTES of a file, and the rest of its first line."""
+    with _opened(path) as file:
+        data = file.read(SNIFF_BYTES)
+        while b"\n" not in data and b"\r" not in data and (more := file.read(SNIFF_BYTES)):
+            data += more
+    return data
+
+
+def _read_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = [_head_of(path) for path in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], ["path", "head"])
+
+
+def _heads(files: DataFrame) -> DataFrame:
+    """path and head of each file with content, by byte range; through Spark where pyarrow does not know the file system."""
+    named = files.select(decoded_path(F.col("_metadata.file_path")).alias("path"), "content")
+    first = named.select("path").first()
+    try:
+        if first:
+            _opened(first[0]).close()
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return named.select("path", F.substring("content", 1, 32 * SNIFF_BYTES).alias("head"))
+    return named.select("path").mapInArrow(_read_heads, "path string, head binary")
+
+
+def empty_files(files: DataFrame) -> list[str]:
+    """Paths of the listed files without content, which no scan returns."""
+    full = {r[0] for r in files.select(decoded_path(F.col("_metadata.file_path"))).collect()}  # file names only
+    # The listing writes local paths with three slashes, the metadata column with one.
+    return sorted({re.sub("^file:/+", "file:/", unquote(path)) for path in files.inputFiles()} - full)
+
+
 def file_heads(spark: SparkSession, folder: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """path, encoding, delimiter and header line of each file."""
+    """path, encoding, delimiter and header line of each file, and the reason why a file cannot be read.
+
+    Delimiter and header come from the first bytes alone. The encoding needs every line: one scan, of which only two
+    flags a file are shuffled.
+    """
     allow_korean_charset(spark)
-    lines = (spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder)
-             .select("value", decoded_path(F.col("_metadata.file_path")).alias("path"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("line")))
-    encodings = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    # The sniffed bytes lie in the first block of a file, in its first SNIFF_BYTES lines.
-    place = F.row_number().over(Window.partitionBy("path").orderBy("line"))
-    heads = (lines.filter(F.col("block") == 0).withColumn("place", place)
-             .filter(F.col("place") <= SNIFF_BYTES).groupBy("path")
-             .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("top")))
-    first = F.element_at("top", 1).getField("value")
-    text = F.array_join(F.transform("top", lambda r: r["value"]), "\n")
+    source = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
+    files = source.format("binaryFile").load(folder)
+    empty = literal_rows(spark, [(path, b"") for path in empty_files(files)], "path string, head binary")
+    heads = _heads(files).unionByName(empty)
+    value = F.col("value")
+    utf8 = F.is_valid_utf8(value)
+    korean = F.when(utf8, True).otherwise(~F.decode(value.cast("binary"), KOREAN).contains("\ufffd"))
+    encodings = (source.text(folder).select(decoded_path(F.col("_metadata.file_path")).alias("path"), "value")
+                 .groupBy("path").agg(F.bool_and(utf8).alias("utf8"), F.bool_and(korean).alias("korean")))
+    text = F.col("head").cast("string")
+    first = F.substring_index(F.substring_index(text, "\n", 1), "\r", 1)
     header = F.when(F.col("utf8"), first).otherwise(F.decode(first.cast("binary"), KOREAN))
-    return (heads.join(encodings, "path")
+    reason = F.when(F.col("utf8").isNull(), "empty file").when(~F.col("utf8") & ~F.col("korean"), "neither UTF-8 nor cp949")
+    return (heads.join(encodings, "path", "left")
             .select("path", F.when(F.col("utf8"), F.lit("UTF-8")).otherwise(F.lit(KOREAN)).alias("encoding"),
                     sniff_delimiter(text).alias("delimiter"),
-                    F.replace(header, F.lit("\ufeff"), F.lit("")).alias("header")))
+                    F.replace(header, F.lit("\ufeff"), F.lit("")).alias("header"), reason.alias("reason")))
 
 
 def header_groups(heads: DataFrame) -> list[HeaderGroup]:
-    """Groups of files; only file metadata reaches the driver, as in any file listing."""
-    grouped = (heads.groupBy("encoding", "delimiter", "header")
+    """Groups of files that can be read; only file metadata reaches the driver, as in any file listing."""
+    grouped = (heads.where("reason is null").groupBy("encoding", "delimiter", "header")
                .agg(F.array_sort(F.collect_list("path")).alias("paths"))
                .orderBy(F.element_at("paths", 1)))
     return [HeaderGroup(r["encoding"], r["delimiter"], tuple(r["paths"])) for r in grouped.collect()]
@@ -114,9 +165,12 @@ def read_csv_safe(spark: SparkSession, path: str, delimiter: str | None = None,
                   recursive: bool = True) -> DataFrame:
     """Text columns of one or more files, encoding and delimiter found per file.
 
-    Byte order marks are dropped. Columns that only some files have are null in the others.
+    Byte order marks are dropped. Columns that only some files have are null in the others. Empty files and files in
+    another encoding are left out; `file_heads` names them.
     """
     groups = header_groups(file_heads(spark, path, pattern, recursive))
+    if not groups:
+        raise ValueError(f"no file of {path} can be read")
     frames = [read_group(spark, g, delimiter) for g in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -221,10 +275,13 @@ def _rejects(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 
 
 def _read_harmonised(spark: SparkSession, folder: str, needs: dict[str, str], convert) -> tuple[DataFrame | None, DataFrame]:
-    groups = header_groups(file_heads(spark, folder))
+    heads = file_heads(spark, folder).persist()
+    groups = header_groups(heads)
+    unread = [tuple(r) for r in heads.where("reason is not null").select("path", "reason").orderBy("path").collect()]
+    heads.unpersist()
     tables = [read_group(spark, g) for g in groups]
     headers = read_headers(spark, [[c for c in t.columns if c not in ("source_file", "row_ord")] for t in tables])
-    frames, bad = [], []
+    frames, bad = [], unread
     for group, table, header in zip(groups, tables, headers):
         reason = next((why for role, why in needs.items()
                        if not (header.hours if role == "hours" else header.roles[role])), None)

@@ -56,6 +56,20 @@ def test_file_heads(spark, folder):
     assert tabbed["delimiter"] == "\t" and "호기" in tabbed["header"]
 
 
+def test_unreadable_files_are_rejected(spark, tmp_path):
+    put(tmp_path / "m/ok.csv", "발전소명,일자,1시\n가 태양광,2024-01-01,3\n")
+    put(tmp_path / "m/long.csv", "일자\t" + "x" * 5000 + "\t1시\r\n2024-01-01\t1\t2\r\n")
+    put(tmp_path / "m/empty#1%20.csv", "")
+    (tmp_path / "m/other.csv").write_bytes(b"a,b\n\xff\xfe\x80,1\n")
+    heads = {r["path"].rsplit("/", 1)[1]: r for r in C.file_heads(spark, str(tmp_path / "m")).collect()}
+    assert heads["ok.csv"]["reason"] is None and heads["long.csv"]["header"].endswith("1시") and heads["long.csv"]["delimiter"] == "\t"
+    rows, rejects = C.read_generation(spark, str(tmp_path / "m"))
+    assert rows.count() == 2
+    assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in rejects.collect()} == {("empty#1%20.csv", "empty file"), ("other.csv", "neither UTF-8 nor cp949")}
+    with pytest.raises(ValueError):
+        C.read_csv_safe(spark, str(tmp_path / "m"), pattern="empty*.csv")
+
+
 def test_generation(spark, folder):
     rows, rejects = C.read_generation(spark, str(folder / "meters"), [2024])
     assert {(r["path"].rsplit("/", 1)[1], r["reason"]) for r in rejects.collect()} == {

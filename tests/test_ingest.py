@@ -145,9 +145,11 @@ def test_transcode(spark, folder):
     path = folder / "raw/발전량_2024_03.csv"
     path.parent.mkdir()
     path.write_bytes("이름,값\n가".encode("cp949") + b"\xff,1\n")
+    (path.parent / "다른_2024_03.csv").write_bytes("나,2\n".encode("cp949"))
     sinks.transcode_files(spark, str(folder / "raw"), str(folder / "utf8"))
     got = spark.read.text(str(folder / "utf8"))
-    assert {(r["value"], r["year"], r["month"]) for r in got.collect()} == {("이름,값", 2024, 3), ("가,1", 2024, 3)}
+    assert {(r["value"], r["year"], r["month"], r["file"]) for r in got.collect()} == {
+        ("이름,값", 2024, 3, "발전량_2024_03.csv"), ("가,1", 2024, 3, "발전량_2024_03.csv"), ("나,2", 2024, 3, "다른_2024_03.csv")}
 
 
 def test_cells_that_are_no_finite_number_count_as_zero(spark):

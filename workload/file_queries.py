@@ -107,3 +107,53 @@ def training_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(" id\t"), F.col("s_name").alias("﻿name "))
     return P.clean_column_names(named).select("id", "name")
+
+
+BUCKET = 1000  # rows of a derived file
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer")
+def read_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON arrays of up to a thousand customers, one file each."""
+    folder = shared_folder(spark)
+    rows = S.read(spark, sf_dir, "customer").select(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("r"),
+                                                    F.floor(F.col("c_custkey") / BUCKET).alias("bucket"))
+    rows.groupBy("bucket").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("bucket").text(folder)
+    return JF.read_json_records(spark, folder, "id bigint, name string").select("id", "name")
+
+
+@query("SELECT s_name AS name FROM supplier")
+def read_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON files of up to a thousand features each."""
+    folder = shared_folder(spark)
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("s_name").alias("name")).alias("properties"))
+    rows = S.read(spark, sf_dir, "supplier").select(feature.alias("f"), F.floor(F.col("s_suppkey") / BUCKET).alias("bucket"))
+    whole = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features")))
+    rows.groupBy("bucket").agg(whole.alias("value")).write.partitionBy("bucket").text(folder)
+    return JF.read_boundaries(spark, folder)
+
+
+@query("SELECT DISTINCT CAST(o_orderkey // 5000 AS BIGINT) AS bucket, true AS has_content FROM orders")
+def list_input_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of the files found below a folder, none of them empty."""
+    folder = shared_folder(spark)
+    orders = S.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_orderkey") / 5000).alias("bucket"))
+    orders.write.partitionBy("bucket").csv(folder)
+    found = C.list_input_files(spark, folder)
+    return found.groupBy(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket")).agg(F.bool_and(F.col("length") > 0).alias("has_content"))
+
+
+@query("SELECT '발전량 ' || s_name AS value FROM supplier")
+def transcode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as cp949 and brought to UTF-8."""
+    C.allow_korean_charset(spark)
+    raw, folder = shared_folder(spark), shared_folder(spark)
+    lines = S.read(spark, sf_dir, "supplier").select(F.encode(F.concat(F.lit("발전량 "), F.col("s_name")), C.KOREAN).cast("string").alias("value"))
+    lines.write.text(raw)
+    sinks.transcode_files(spark, raw, folder, pattern="*.txt")
+    return spark.read.text(folder).select("value")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0")
+def require_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.require_nonempty(S.read(spark, sf_dir, "customer").where("c_acctbal > 0"), "customers").select(F.col("c_custkey").alias("id"))

@@ -1,8 +1,8 @@
-"""Great-circle distance."""
+"""Great-circle distance and points on the unit sphere."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliopanel.constants import EARTH_RADIUS_KM
@@ -15,3 +15,9 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = half_lat * half_lat + F.cos(phi1) * F.cos(phi2) * half_lon * half_lon
     return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
+
+
+def unit_vector(df: DataFrame) -> DataFrame:
+    """Adds x, y and z of (lat, lon) in degrees on the unit sphere."""
+    phi, out = F.radians("lat"), F.radians("lon")
+    return df.withColumns({"x": F.cos(phi) * F.cos(out), "y": F.cos(phi) * F.sin(out), "z": F.sin(phi)})

@@ -6,17 +6,23 @@ size, and fall back to a shuffled join with skew splitting beyond the threshold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliopanel.constants import EARTH_RADIUS_KM
-from heliopanel.functions.geo import haversine
+from heliopanel.functions.geo import haversine, unit_vector
 from heliopanel.functions.text import boundary_region_name, strip
 from heliopanel.functions.timefx import floor_hour
 from heliopanel.operators.aggregates import dedupe_first
+from heliopanel.session import durable
 
 INLINE_STATIONS = 1_000
-CELL_DEGREES = 1.0
+LEAF_STATIONS = 256
+#: Bits of a cell's coordinates that one step down the pyramid adds, and the finest cells (about 3 m).
+STEP_BITS, MOST_BITS = 2, 22
+#: Distances on the unit sphere are compared with this slack, far above their rounding errors.
+SLACK = 1e-9
 
 
 def join_alias(df: DataFrame, alias: DataFrame, plant: str = "plant", name: str = "canonical") -> DataFrame:
@@ -83,62 +89,95 @@ def _nearest_of(stations: Column) -> Column:
 
 
 def nearest_station(sites: DataFrame, stations: DataFrame, key: str = "site",
-                    inline_stations: int = INLINE_STATIONS) -> DataFrame:
+                    inline_stations: int = INLINE_STATIONS, leaf_stations: int = LEAF_STATIONS) -> DataFrame:
     """Nearest station of each site: adds station, station_name and distance.
 
     `sites` needs `key`, lat and lon; `stations` needs station, station_name, lat, lon and
     ord (file order, which decides ties). Sites without coordinates get nulls.
 
     A short station list, its size checked, is one array that every site scans on its own
-    without a shuffle. A longer one is searched by grid cell; the sites whose neighbouring
-    cells cannot contain the answer for certain are compared with blocks of the list.
+    without a shuffle. A longer one becomes a pyramid of cells, which each distinct place
+    descends; only cells that can hold its nearest station go on to the next level.
     """
     stations = stations.select("station", "station_name", "lat", "lon", "ord").na.drop(subset=["lat", "lon"])
-    total = stations.count()
     entry = F.struct("lat", "lon", "ord", "station", "station_name")
-    if total <= inline_stations:
+    if stations.count() <= inline_stations:
         everything = stations.agg(F.collect_list(entry).alias("all")).scalar()
         best = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), _nearest_of(F.col("_all")))
         return (sites.withColumn("_all", everything).withColumn("_best", best)
                 .select(*sites.columns, "_best.station", "_best.station_name", "_best.distance"))
 
-    blocks = -(-total // inline_stations)
-    block = F.pmod(F.xxhash64("ord", "station"), F.lit(blocks)).alias("block")
+    first = stations.groupBy("lat", "lon").agg(F.min(F.struct("ord", "station", "station_name")).alias("s")).select("lat", "lon", "s.*")
     places = sites.select("lat", "lon").na.drop().distinct()
-    near = _nearest_in_cells(places, stations.select("*", block), entry)
-    certain = near.filter(F.col("best.distance") < F.col("safe")).select("lat", "lon", "best")
-    open_places = places.join(certain.select("lat", "lon"), ["lat", "lon"], "left_anti")
-    packed = stations.select("*", block).groupBy("block").agg(F.collect_list(entry).alias("_stations"))
-    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    compared = (open_places.select("lat", "lon", every_block).join(packed, "block")
-                .select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
-                .groupBy("lat", "lon").agg(F.min("_near").alias("best")))
-    found = certain.unionByName(compared)
+    found = _nearest_in_pyramid(places, durable(first), entry, inline_stations, leaf_stations)
     return (sites.join(found, ["lat", "lon"], "left")
             .select(*sites.columns, "best.station", "best.station_name", "best.distance"))
 
 
-def _nearest_in_cells(places: DataFrame, stations: DataFrame, entry: Column) -> DataFrame:
-    """Best station within the 3x3 cells around each place, and the distance it is certain up to.
+def _cell(bits: int) -> Column:
+    """Cell of a point of the unit sphere in a cube cut 2^bits times each way, as one number."""
+    side = 1 << bits
+    x, y, z = (F.least(F.floor((F.col(c) + 1) * (side / 2)), F.lit(side - 1)).cast("long") for c in ("x", "y", "z"))
+    return (x * side + y) * side + z if bits <= 20 else F.xxhash64(x, y, z)
+
+
+def _boxes(cells: DataFrame, cell: str, *by: str) -> DataFrame:
+    """Smallest box around the points of each cell."""
+    return cells.groupBy(cell, *by).agg(F.struct(F.col(cell).alias("cell"), *[
+        f(c).alias(f"{n}{c}") for c in ("x", "y", "z") for n, f in (("min_", F.min), ("max_", F.max))]).alias("box"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, although lambdas inside refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _near_boxes(boxes: Column) -> Column:
+    """Those cells of an array of boxes that can hold the station nearest to (x, y, z)."""
+
+    def square(gaps: list[Column]) -> Column:
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+
+    bounds = F.transform(boxes, lambda b: F.struct(
+        b["cell"].alias("cell"),
+        F.sqrt(square([F.greatest(b[f"min_{c}"] - F.col(c), F.col(c) - b[f"max_{c}"], F.lit(0.0)) for c in ("x", "y", "z")])).alias("least"),
+        F.sqrt(square([F.greatest(F.col(c) - b[f"min_{c}"], b[f"max_{c}"] - F.col(c)) for c in ("x", "y", "z")])).alias("most")))
+    return _let(bounds, lambda found: _let(
+        F.aggregate(found, F.lit(4.0), lambda least, b: F.least(least, b["most"])),
+        lambda reach: F.transform(F.filter(found, lambda b: b["least"] <= reach + SLACK), lambda b: b["cell"])))
+
+
+def _nearest_in_pyramid(places: DataFrame, stations: DataFrame, entry: Column, most_top: int, most_leaf: int) -> DataFrame:
+    """(lat, lon, best) of each place, exact.
+
+    Points lie on the unit sphere, where the straight distance grows with the one along the
+    ground and neither poles nor the date line are special. Of each cell the box around its
+    stations is known: no station is nearer than the box, and one is at most as far as its
+    farthest corner. A place keeps the cells nearer than the least such corner.
 
-    Whatever lies outside the nine cells is at least one cell width away in latitude or
-    longitude; `safe` is the shorter of the two distances in kilometres. Stations travel as
-    one array per cell and block, so a place meets few rows even in a crowded cell.
+    The coarsest level with few cells is one array; finer ones, until no leaf has more than
+    `most_leaf` stations, come by joins on the cell above, each with an array of at most 64 boxes.
     """
-    wrap = int(360 / CELL_DEGREES)
-
-    def cell(dy: Column, dx: Column) -> list[Column]:
-        row = F.floor(F.col("lat") / CELL_DEGREES) + dy
-        column = F.pmod(F.floor(F.col("lon") / CELL_DEGREES) + dx, F.lit(wrap))
-        return [row.cast("long").alias("_row"), column.cast("long").alias("_column")]
-
-    packed = (stations.select("*", *cell(F.lit(0), F.lit(0)))
-              .groupBy("_row", "_column", "block").agg(F.collect_list(entry).alias("_stations")))
-    around = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    probes = (places.withColumn("_d", F.explode(around))
-              .select("lat", "lon", *cell(F.col("_d.y"), F.col("_d.x"))))
-    width = F.asin(F.sin(F.radians(F.lit(CELL_DEGREES))) * F.cos(F.radians("lat")))
-    return (probes.join(packed, ["_row", "_column"])
-            .select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
-            .groupBy("lat", "lon").agg(F.min("_near").alias("best"))
-            .withColumn("safe", width * F.lit(EARTH_RADIUS_KM * (1 - 1e-9))))
+    stations = unit_vector(stations)
+
+    def cells(bits: int) -> int:
+        return stations.select(_cell(bits)).distinct().count()
+
+    top = STEP_BITS
+    while top + STEP_BITS <= MOST_BITS and cells(top + STEP_BITS) <= most_top:
+        top += STEP_BITS
+    leaf = top
+    while leaf < MOST_BITS and stations.groupBy(_cell(leaf).alias("cell")).count().agg(F.max("count")).first()[0] > most_leaf:
+        leaf += STEP_BITS
+
+    coarse = _boxes(stations.withColumn("cell", _cell(top)), "cell").agg(F.collect_list("box").alias("boxes")).scalar()
+    open_cells = unit_vector(places).withColumn("_boxes", coarse).select("lat", "lon", "x", "y", "z", F.explode(_near_boxes(F.col("_boxes"))).alias("cell"))
+    for bits in range(top + STEP_BITS, leaf + 1, STEP_BITS):
+        below = (_boxes(stations.select("x", "y", "z", _cell(bits - STEP_BITS).alias("above"), _cell(bits).alias("below")), "below", "above")
+                 .groupBy(F.col("above").alias("cell")).agg(F.collect_list("box").alias("_boxes")))
+        # A place with one open cell, the usual case, still needs the least corner over all its boxes.
+        open_cells = (open_cells.join(below, "cell").groupBy("lat", "lon", "x", "y", "z").agg(F.flatten(F.collect_list("_boxes")).alias("_boxes"))
+                      .select("lat", "lon", "x", "y", "z", F.explode(_near_boxes(F.col("_boxes"))).alias("cell")))
+    packed = stations.groupBy(_cell(leaf).alias("cell")).agg(F.collect_list(entry).alias("_stations"))
+    return (open_cells.join(packed, "cell").select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
+            .groupBy("lat", "lon").agg(F.min("_near").alias("best")))

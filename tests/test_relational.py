@@ -50,6 +50,25 @@ def test_nearest_station_equals_brute_force(spark, inline, spread):
             assert got[site]["distance"] == pytest.approx(best, abs=1e-6)
 
 
+def test_nearest_station_in_crowded_cells(spark):
+    """A third of the stations within metres, a third of the sites at one place, some far off, ties by file order."""
+    draw = random.Random(8)
+    stations = [(i, f"s{i}", 37.5 + draw.uniform(0, 1e-4), 127 + draw.uniform(0, 1e-4), i) for i in range(150)]
+    stations += [(i, f"s{i}", draw.uniform(33, 39), draw.uniform(124, 132), i) for i in range(150, 400)]
+    stations += [(500, "later twin", *stations[0][2:4], 500), (501, "pole", 90.0, 0.0, 501), (502, "date line", 0.0, 180.0, 502)]
+    sites = [(i, 37.50003, 127.00004) for i in range(60)] + [(i, draw.uniform(33, 39), draw.uniform(124, 132)) for i in range(60, 120)]
+    sites += [(200, -60.0, -50.0), (201, 89.0, 170.0), (202, 0.5, -179.9), (203, *stations[0][2:4]), (204, None, 1.0), (205, float("nan"), 1.0)]
+    s = spark.createDataFrame(stations, "station bigint, station_name string, lat double, lon double, ord int").repartition(5)
+    p = spark.createDataFrame(sites, "site int, lat double, lon double")
+    got = {r["site"]: r for r in J.nearest_station(p, s, inline_stations=20, leaf_stations=8).collect()}
+    assert len(got) == len(sites) and got[204]["station"] is got[205]["station"] is None
+    assert (got[201]["station"], got[202]["station"], got[203]["station"]) == (501, 502, 0)
+    for site, lat, lon in sites[:-2]:
+        best = min((round(distance((lat, lon), st[2:4]), 9), st[4], st[0]) for st in stations)
+        assert got[site]["station"] == best[2] and got[site]["distance"] == pytest.approx(best[0], abs=1e-6)
+    assert J.nearest_station(p.limit(0), s, inline_stations=20).count() == 0
+
+
 def test_dedupe_first_with_a_hot_key(spark):
     df = spark.createDataFrame([("hot", i, None if i == 0 else i) for i in range(500)] + [("b", 7, 1)], "k string, o int, v int")
     assert rows(A.dedupe_first(df.repartition(6), ["k"], ["o"]), "k") == [("b", 7, 1), ("hot", 0, None)]

@@ -330,6 +330,24 @@ def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("site", "station", "station_name", rounded("distance", 6).alias("distance"))
 
 
+@query(f"""
+WITH sites AS (SELECT p_partkey AS site, -20 + (p_partkey * 7919 % 100003) / 1000.0::DOUBLE AS lat, 60 + (p_partkey * 104729 % 100019) / 800.0::DOUBLE AS lon FROM part),
+stations AS (
+    SELECT c_custkey AS station, c_name AS station_name, c_custkey AS ord,
+           33 + (c_custkey * 48611 % 99991) / 16666.0::DOUBLE AS lat, 124 + (c_custkey * 15485863 % 99989) / 12498.0::DOUBLE AS lon FROM customer)
+SELECT s.site, arg_min(t.station, {_DISTANCE_SQL}) AS station, round(min({_DISTANCE_SQL}), 6) AS distance
+FROM sites s, stations t GROUP BY 1""")
+def nearest_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of all customers as stations, for parts in and far around the country."""
+    part, customer = F.col("p_partkey"), F.col("c_custkey")
+    sites = S.read(spark, sf_dir, "part").select(part.alias("site"), (F.lit(-20) + (part * 7919 % 100003) / 1000.0).alias("lat"),
+                                                 (F.lit(60) + (part * 104729 % 100019) / 800.0).alias("lon"))
+    stations = S.read(spark, sf_dir, "customer").select(
+        customer.alias("station"), F.col("c_name").alias("station_name"), customer.alias("ord"),
+        (F.lit(33) + (customer * 48611 % 99991) / 16666.0).alias("lat"), (F.lit(124) + (customer * 15485863 % 99989) / 12498.0).alias("lon"))
+    return J.nearest_station(sites, stations).select("site", "station", rounded("distance", 6).alias("distance"))
+
+
 @query("""
 SELECT k, event_type, event_id, ts, value FROM (
     SELECT user_id % 97 AS k, *, row_number() OVER (PARTITION BY user_id % 97, event_type ORDER BY ts, event_id) AS rn

@@ -138,6 +138,20 @@ def test_chats_match_sql_and_read_back(spark):
         assert sum(r.loss_runs) == len(r.formatted)
 
 
+def test_chats_of_very_many_turns(spark):
+    """One with alternating roles, one with a single block; each is quick only if nothing is quadratic in the turns."""
+    n = 20_000
+    both = spark.range(2 * n).select((F.col("id") % 2).alias("conv_id"), F.floor(F.col("id") / 2).alias("turn"), F.when(
+        F.col("id") % 4 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|im_sep|>\\ \n"), F.col("id")).alias("text"))
+    out = {r.conv_id: r for r in chat_digests(format_chats(both)).collect()}
+    for conv in (0, 1):
+        turns = [("user" if i % 4 == 0 else "assistant", f"<|im_sep|>\\ \n{i}") for i in range(conv, 2 * n, 2)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert out[conv].n_turns == n and out[conv].loss_chars == len(loss)
+        assert out[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert out[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_queries_match_check_sql(spark, name):
     from check import compare, connect

@@ -6,23 +6,27 @@ how much the sequence of its children varies (presentation), and how spread its
 of one page counts 1, a text of all pages 0). Their weighted sum is the importance of the branch, smoothed by
 the number of pages; a path of a single page has none. Then each page drops its low branches. Navigation, headers, footers, asides, forms, scripts and the like are
 dropped by tag, and by class, id or role unless the branch holds an article or main element or is important on
-the host in spite of its name. An article or main element is kept but for its branches that hardly vary at all.
+the host in spite of its name. Inside an article only names that are a whole word count. An article or main element is kept but for
+its branches that hardly vary at all; text outside it goes, unless there is more of that than of articles.
+Where a host of several pages has no article, the least important of sibling branches go by their distance to the best one.
 
 The text is that of the remaining blocks: character references decoded, white space inside a block one
 space, blocks joined by line breaks, a br ends a block. Null and empty pages give an empty text; pages
 without url or host form one host. Repeated rows are extracted each for itself, but raise the counts. The
 tree is counted with built-in aggregates, so a host of any size is spread. Columns of the input named like
-an output column are replaced by it. An empty table gives an empty result.
+an output column are replaced by it. An empty table gives an empty result. Time grows with the length of a
+page however deep or broken: a text speaks for the nearest branches above it, and what follows the last `>` is text.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -44,7 +48,7 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open element of the second set.
@@ -52,6 +56,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
                      "header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "thead": {"thead"}, "tbody": {"thead", "tbody"}}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 SCOPE = frozenset("table ul ol dl article section div body html td th".split())
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 NOISE_NAME = re.compile(
@@ -59,39 +64,47 @@ NOISE_NAME = re.compile(
     r"ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|replies|respond|"
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|breadcrumb|breadcrumbs|pagination|pager|widget|"
     r"complementary|contentinfo|alert|toolbar|skip)(?:$|[\s_-])", re.I)
-#: Names of headers, which are no noise inside an article, as the tag is none.
-HEADER_NAME = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-])", re.I)
+#: Names that are no noise inside an article, as the header tag is none.
+ARTICLE_NAME = re.compile(r"header|masthead|alert|banner|widget", re.I)
+#: A text counts for so many branches above it.
+REACH = 32
 #: From this importance on a name does not drop a branch. Pages are added that would lower it: for a name that
 #: is the whole word, and for one that is a part of it (with-sidebar).
 HIGH, WHOLE_PAGES, PART_PAGES = 0.8, 8, 0.25
 
 
 @dataclass(eq=False)
-class Name:
-    """A branch that its class, id, role or itemprop calls noise; `whole` where a word of it says nothing else."""
+class Branch:
+    """An element that is no inline one, with the branch above it; `named` 1 where class, id, role or itemprop call it noise, 2 by a whole word."""
     path: int
-    whole: bool
+    above: Branch | None
+    named: int = 0
     holds_article: bool = False
+    #: What the decisions say of the branch and all above it, once asked.
+    verdict: tuple | None = None
 
 
 @dataclass
 class Element:
     tag: str
-    path: int
-    above: tuple[int, ...]
+    branch: Branch
     noise: bool
     article: bool
-    names: tuple[Name, ...] = ()
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Block:
-    paths: tuple[int, ...]
+    branch: Branch
     noise: bool
     article: bool
     text: str
-    names: tuple[Name, ...] = ()
+
+
+def upward(branch: Branch | None) -> Iterator[Branch]:
+    while branch is not None:
+        yield branch
+        branch = branch.above
 
 
 @lru_cache(maxsize=100_000)
@@ -101,27 +114,33 @@ def child_path(parent: int, name: str) -> int:
 
 def parsed(source: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """Blocks of a page in order, and the child sequence of each element."""
-    root = Element("", 0, (), False, False)
-    stack, blocks, styles, words = [root], [], [], []
-    position, length = 0, len(source)
+    stack, blocks, styles, words = [Element("", Branch(0, None), False, False)], [], [], []
+    open_at: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of each tag
+    blocks_at = [0]  # depths of those that are not inline
+    position, length = 0, source.rfind(">") + 1
 
     def flush() -> None:
         if words:
             text = " ".join(entities.unescape("".join(words)).split())
             if text:
                 top = stack[-1]
-                blocks.append(Block((*top.above, top.path), top.noise, top.article, text, top.names))
+                blocks.append(Block(top.branch, top.noise, top.article, text))
             words.clear()
 
-    def pop() -> None:
-        element = stack.pop()
-        if element.tag not in INLINE:
-            styles.append((element.path, " ".join(element.children)))
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            element = stack.pop()
+            open_at[element.tag].pop()
+            if element.tag not in INLINE:
+                blocks_at.pop()
+                styles.append((element.branch.path, " ".join(element.children)))
+
+    def deepest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     while position < length:
-        found = TOKEN.search(source, position)
+        found = TOKEN.search(source, position, length)
         if not found:
-            words.append(source[position:])
             break
         if found.start() > position:
             words.append(source[position:found.start()])
@@ -133,60 +152,58 @@ def parsed(source: str) -> tuple[list[Block], list[tuple[int, str]]]:
         if not inline:
             flush()
         if found["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    if inline and stack[-1].noise:
-                        flush()
-                    while len(stack) > depth:
-                        pop()
-                    break
-                if inline and stack[depth].tag not in INLINE:
-                    break
+            depth = deepest((tag,))
+            if depth and (not inline or depth > blocks_at[-1]):
+                if inline and stack[-1].noise:
+                    flush()
+                close(depth)
             continue
         if tag in RAW:
             if not found["attributes"].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, position)
-                position = close.end() if close else length
+                end = RAW_END[tag].search(source, position, length)
+                position = end.end() if end else len(source)
             continue
         if tag in VOID:
             stack[-1].children.append(tag)
             continue
         if tag in CLOSES_P or tag in SAME:
-            ended = {"p"} if tag in CLOSES_P else SAME[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ended:
-                    while len(stack) > depth:
-                        pop()
-                    if tag != "tr":
-                        break
-                elif stack[depth].tag in SCOPE and not (tag == "tr" and stack[depth].tag in ("td", "th")):
-                    break
+            scope = SCOPE - {"td", "th"} if tag == "tr" else SCOPE
+            for ended in ({"td", "th"}, {"tr"}) if tag == "tr" else ({"p"} if tag in CLOSES_P else SAME[tag],):
+                depth = deepest(ended)
+                if depth and depth >= deepest(scope):
+                    close(depth)
         parent = stack[-1]
         values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(found["attributes"])} if found["attributes"] else {}
         named = " ".join(values.get(k, "") for k in ("class", "id", "role", "itemprop"))
         main = tag in ("article", "main") or values.get("role") in ("main", "article")
         article = parent.article or main
         if main:
-            for element in stack:
-                for name in element.names:
-                    name.holds_article = True
+            for branch in upward(parent.branch):
+                if branch.holds_article:
+                    break
+                branch.holds_article = True
         noise = parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.article or "hidden" in values or values.get("aria-hidden") == "true"
-        words_of = [w for w in named.split() if NOISE_NAME.search(w) and not (article and HEADER_NAME.search(w))]
+        if article:
+            words_of = [w for w in named.split() if NOISE_NAME.fullmatch(w) and not ARTICLE_NAME.fullmatch(w)]
+        else:
+            words_of = [w for w in named.split() if NOISE_NAME.search(w)]
         called = bool(words_of) and not main and tag not in ("body", "html")
         noise = noise or called and inline
         if inline:
             if noise and not parent.noise:
                 flush()
-            stack.append(Element(tag, parent.path, parent.above, noise, article, parent.names))
+            branch = parent.branch
         else:
             parent.children.append(tag)
             name = f"{tag}.{'.'.join(sorted(values.get('class', '').split()))}"
-            path = child_path(parent.path, f"{name}!" if called else name)
-            names = (*parent.names, Name(path, any(NOISE_NAME.fullmatch(w) for w in words_of))) if called else parent.names
-            stack.append(Element(tag, path, (*parent.above, parent.path), noise, article, names))
+            path = child_path(parent.branch.path, f"{name}!" if called else name)
+            branch = Branch(path, parent.branch, 0 if not called else 1 + any(NOISE_NAME.fullmatch(w) for w in words_of))
+            blocks_at.append(len(stack))
+        open_at[tag].append(len(stack))
+        stack.append(Element(tag, branch, noise, article))
+    words.append(source[position:])
     flush()
-    while len(stack) > 1:
-        pop()
+    close(1)
     return blocks, styles
 
 
@@ -197,11 +214,12 @@ def branches(source: str) -> set[tuple[int, str, int]]:
     for block in blocks:
         if block.noise:
             continue
-        found.update((n.path, "N", int(n.whole)) for n in block.names)
         text = xxhash.xxh64_intdigest(block.text) - (1 << 63)
-        for path in block.paths:
-            found.add((path, "T", text))
-            found.add((path, "P", 0))
+        for branch in islice(upward(block.branch), REACH):
+            if branch.named:
+                found.add((branch.path, "N", branch.named - 1))
+            found.add((branch.path, "T", text))
+            found.add((branch.path, "P", 0))
     for path, children in styles:
         found.add((path, "S", xxhash.xxh64_intdigest(children) - (1 << 63)))
     return found
@@ -210,16 +228,35 @@ def branches(source: str) -> set[tuple[int, str, int]]:
 def main_text(source: str, low: set[int], fixed: set[int], high: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of a page without its low branches (of an article: its fixed ones), nor those with a name of noise unless they are high or hold an article."""
     blocks, _ = parsed(source)
-    found = [b for b in blocks if not b.noise]
-    kept = [b for b in found if not any(not n.holds_article and n.path not in high for n in b.names)]
-    if not kept:
-        # Names alone would leave nothing: those that are whole words count then.
-        kept = [b for b in found if not any(n.whole and not n.holds_article and n.path not in high for n in b.names)]
-    article = [b for b in kept if b.article]
-    chosen, dropped = (article, fixed) if article else (kept, low)
-    left = [b for b in chosen if not dropped.intersection(b.paths)]
+
+    def verdict(branch: Branch) -> tuple[int, bool, bool]:
+        """(name that speaks against it, on a low path, on a fixed path), of a branch or any above it."""
+        open_branches = []
+        while branch is not None and branch.verdict is None:
+            open_branches.append(branch)
+            branch = branch.above
+        name, is_low, is_fixed = branch.verdict if branch else (0, False, False)
+        for b in reversed(open_branches):
+            if b.named and not b.holds_article and b.path not in high:
+                name = max(name, b.named)
+            is_low, is_fixed = is_low or b.path in low, is_fixed or b.path in fixed
+            b.verdict = (name, is_low, is_fixed)
+        return name, is_low, is_fixed
+
+    found = [(b, *verdict(b.branch)) for b in blocks if not b.noise]
+    # Where names alone would leave nothing, only those that are whole words count.
+    kept = [f for f in found if not f[1]] or [f for f in found if f[1] < 2]
+    article, outside = [f for f in kept if f[0].article], [f for f in kept if not f[0].article and not f[2]]
+
+    def size(part: list) -> int:
+        return sum(len(f[0].text) for f in part)
+
+    if article and size(outside) <= size(article):
+        chosen, left = article, [f for f in article if not f[3]]
+    else:
+        chosen, left = kept, [f for f in kept if not f[3 if f[0].article else 2]]
     # A host of copies of one page has no varying branch: then the names alone decide.
-    return "\n".join(b.text for b in (left or chosen))
+    return "\n".join(f[0].text for f in (left or chosen))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Quality scores on held-out labels, page texts on hand-made pages, and the whole pipeline."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -78,12 +80,31 @@ NAMED = [
     ("<article><div class='post-header'><h1>H</h1></div><p>a</p><div class='share'>s</div></article>", "H\na"),
 ]
 
+NAMED += [
+    ("<article><section id='search-algorithms'><p>a</p></section><p>b</p></article>", "a\nb"),
+    ("<article><section id='related-work'><p>a</p></section><p>b</p></article>", "a\nb"),
+    ("<article><div class='social-science'><p>a</p></div><p class='alert'>b</p></article>", "a\nb"),
+    ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a\nx\nb"),
+    ("<div>main body</div><article>teaser</article>", "main body\nteaser"),
+    ("<div>more</div><article>the longer text</article>", "the longer text"),
+]
+
 
 @pytest.mark.parametrize("body, text", NAMED)
 def test_names_drop_no_articles(body, text):
     assert H.main_text(page(body), set(), set()) == text
 
 
+@pytest.mark.parametrize("source", [
+    "<div>x" * 150_000, "<a " * 300_000, "<p>y<section>" * 60_000 + "</div>" * 60_000, "<u><div>" + "<b>" * 100_000 + "</u>" * 100_000,
+    "<div class=ad>z" * 60_000, "<article>" * 100_000 + "w", "<table><tr><td>c" * 50_000])
+def test_broken_pages_take_linear_time(source):
+    start = time.perf_counter()
+    H.main_text(source, set(), set())
+    H.branches(source)
+    assert time.perf_counter() - start < 25 * max(1, len(source) / 1e6)
+
+
 def test_names_drop_no_important_branch(spark):
     rows = [(i, f"https://a.example/{i}", page(f"<div class='no-sidebar'><p>text {i}</p></div><div class=sidebar>same</div><div class=x>end {i}</div>")) for i in range(5)]
     out = H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

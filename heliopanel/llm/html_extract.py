@@ -8,7 +8,6 @@ the number of pages; a path of a single page has none. Then each page drops its
 dropped by tag, and by class, id or role unless the branch holds an article or main element or is important on
 the host in spite of its name. Inside an article only names that are a whole word count. An article or main element is kept but for
 its branches that hardly vary at all; text outside it goes, unless there is more of that than of articles.
-Where a host of several pages has no article, the least important of sibling branches go by their distance to the best one.
 
 The text is that of the remaining blocks: character references decoded, white space inside a block one
 space, blocks joined by line breaks, a br ends a block. Null and empty pages give an empty text; pages
@@ -260,7 +259,7 @@ def main_text(source: str, low: set[int], fixed: set[int], high: frozenset[int]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """From (host, html): (host, path, pages, importance, named): named 1 for a name of noise, 2 for a whole word, 0 for none."""
+    """From (host, html): (host, path, pages, importance, content, named): named 1 for a name of noise, 2 for a whole word, 0 for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,9 +282,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
                                                F.max(F.when(F.col("kind") == "N", F.col("feature") + 1)).alias("named"))
     base = F.ln("pages")
     content = 1 - F.col("same_texts") / (F.col("texts") * base)
-    presentation = F.least(F.lit(1.0), (F.ln("styles") - F.col("same_styles") / F.col("styles")) / base)
-    importance = CONTENT_SHARE * content + (1 - CONTENT_SHARE) * F.coalesce(presentation, F.lit(0.0))
-    return sums.where("pages > 1 and texts > 0").select("host", "path", F.col("pages").cast("long").alias("pages"), importance.alias("importance"),
+    presentation = F.least(F.lit(1.0), F.coalesce((F.ln("styles") - F.col("same_styles") / F.col("styles")) / base, F.lit(0.0)))
+    importance = CONTENT_SHARE * content + (1 - CONTENT_SHARE) * presentation
+    return sums.where("pages > 1 and texts > 0").select("host", "path", F.col("pages").cast("long").alias("pages"), importance.alias("importance"), content.alias("content"),
                                                        F.coalesce("named", F.lit(0)).alias("named"))
 
 

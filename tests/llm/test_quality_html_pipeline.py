@@ -1,5 +1,7 @@
 """Quality scores on held-out labels, page texts on hand-made pages, and the whole pipeline."""
 
+import collections
+import math
 import time
 
 import duckdb
@@ -145,6 +147,33 @@ def test_articles_of_given_pages(spark):
         assert out[page_id] == (want, len(want))
 
 
+def test_style_tree_equals_brute_force(spark):
+    pages = duckdb.sql(f"SELECT url, html FROM '{SMALL}/pages.parquet'").fetchall()
+    rows = [("a" if i % 3 else "b", h) for i, (_, h) in enumerate(pages)] + [("c", None), ("a", "")]
+    got = {(r.host, r.path): r for r in H.style_tree(spark.createDataFrame(rows, "host string, html string").repartition(4)).collect()}
+
+    def entropy(values):
+        counts = collections.Counter(values)
+        return sum(n / len(values) * math.log(len(values) / n) for n in counts.values())
+
+    seen = 0
+    for host in "abc":
+        found = [H.branches(h or "") for g, h in rows if g == host]
+        for path in {p for f in found for p, kind, _ in f if kind == "P"}:
+            count = sum(any(p == path and kind == "P" for p, kind, _ in f) for f in found)
+            texts = [v for f in found for p, kind, v in f if p == path and kind == "T"]
+            styles = [v for f in found for p, kind, v in f if p == path and kind == "S"]
+            if count < 2:
+                continue
+            seen += 1
+            content = 1 - sum(math.log(n) * n for n in collections.Counter(texts).values()) / (len(texts) * math.log(count))
+            shape = min(1.0, entropy(styles) / math.log(count)) if styles else 0.0
+            row = got[host, path]
+            assert row.pages == count and abs(row.content - content) < 1e-9
+            assert abs(row.importance - (H.CONTENT_SHARE * content + (1 - H.CONTENT_SHARE) * shape)) < 1e-9
+    assert seen == len(got) > 5
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and "MinHash near-dedup" in names

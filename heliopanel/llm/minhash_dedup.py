@@ -7,7 +7,8 @@ threshold. Frequencies are counted over all documents in 2 ** 20 hashed slots, a
 fixed size that is summed in rounds of 64 parts and is the only thing that reaches the driver. Improved
 consistent weighted sampling draws 100 samples of each set, alike with the probability of the weighted
 Jaccard similarity of two sets; bands of five make 20 bucket keys (two texts of similarity 0.8 miss each
-other with a probability of 0.0004). Random numbers are drawn per slot of 2 ** 14, so sampling is table work.
+other with a probability of 0.0004). Random numbers belong to
+the pair of shingle and sample, so long texts without common shingles share no samples.
 
 Texts of the same words are first reduced to one. In each bucket the member with the most frequent
 shingles, the middle of a group, is compared with all others: no pairs within groups are listed. Members of
@@ -40,13 +41,14 @@ from heliopanel.llm.shingles import mixed, passes, shingle_hashes, weighted_sets
 
 OUTPUT = ("component_id", "kept")
 SLOTS, PART = 1 << 20, 4096
-SAMPLE_SLOTS = 1 << 14
 BANDS, ROWS = 20, 5
 FAN_IN = 64
 #: Texts of a block, and shingles compared at once, where clusters are compared.
 BLOCK, SAMPLE_BLOCK, COLUMNS = 512, 2048, 4096
 #: Shingles that are sampled together.
-SAMPLED = 4096
+SAMPLED = 256
+#: Word sequences that a task remembers while it looks for copies.
+REMEMBERED = 1 << 20
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -114,51 +116,69 @@ def inverse_frequencies(counted: DataFrame) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def sampling_tables() -> tuple[np.ndarray, ...]:
-    """Per slot and sample: r ~ Gamma(2, 1), 1 / r, beta ~ U(0, 1), ln c with c ~ Gamma(2, 1)."""
-    random = np.random.Generator(np.random.PCG64(20240229))
-    shape = (SAMPLE_SLOTS, BANDS * ROWS)
-    r = random.gamma(2.0, 1.0, shape).astype(np.float32)
-    beta = random.random(shape).astype(np.float32)
-    c = np.log(random.gamma(2.0, 1.0, shape)).astype(np.float32)
-    return r, 1 / r, beta, c
+    """Gamma(2, 1) by its quantiles in 2 ** 16 steps, their logarithms, and one odd factor per sample."""
+    share = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    low, high = np.zeros(len(share)), np.full(len(share), 64.0)
+    for _ in range(64):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    odd = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    return low.astype(np.float32), np.log(low).astype(np.float32), odd * np.uint64(2) + np.uint64(1)
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """ICWS of one set. The smallest value of each sample tells its shingle and quantised weight apart."""
-    r, inverse, beta, c = sampling_tables()
-    least = np.full(BANDS * ROWS, np.inf, np.float32)
-    slots = (hashes >> np.uint64(40)).astype(np.int64) & (SAMPLE_SLOTS - 1)
-    logs = np.log(weights).astype(np.float32)
-    for low in range(0, len(slots), SAMPLED):
-        at, log = slots[low:low + SAMPLED], logs[low:low + SAMPLED, None]
-        own = beta[at]
-        t = inverse[at]
-        t *= log
-        t += own
-        np.floor(t, out=t)
-        t -= own
-        t += 1
-        t *= r[at]
-        np.minimum(least, (c[at] - t).min(axis=0), out=least)
+    """ICWS of one set. The smallest value of each sample tells its shingle and quantised weight apart.
+
+    A shingle's hash times the sample's odd factor gives 16 bits each for r ~ Gamma(2, 1), c ~ Gamma(2, 1)
+    and beta ~ U(0, 1), so every shingle has numbers of its own in every sample.
+    """
+    gamma, log_gamma, odd = sampling_tables()
+    least = np.full(len(odd), np.inf, np.float32)
+    logs = np.log(weights).astype(np.float32)[:, None]
+    product, (r, c, beta, t) = np.empty((SAMPLED, len(odd)), np.uint64), np.empty((4, SAMPLED, len(odd)), np.float32)
+    for low in range(0, len(hashes), SAMPLED):
+        n = min(SAMPLED, len(hashes) - low)
+        np.multiply(hashes[low:low + n, None], odd, out=product[:n])
+        bits = product[:n].view(np.uint16).reshape(n, len(odd), 4)
+        gamma.take(bits[..., 3], out=r[:n], mode="clip")
+        log_gamma.take(bits[..., 2], out=c[:n], mode="clip")
+        np.multiply(bits[..., 1], np.float32(2 ** -16), out=beta[:n])
+        now = np.divide(logs[low:low + n], r[:n], out=t[:n])
+        now += beta[:n]
+        np.floor(now, out=now)
+        now -= beta[:n]
+        now += 1
+        now *= r[:n]
+        np.minimum(least, np.subtract(c[:n], now, out=now).min(axis=0), out=least)
     return least
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """(id, digest, weight, rarity, bands, drawn) of every document with shingles.
 
-    rarity is the mean weight of a shingle, drawn has one byte of each sample.
+    rarity is the mean weight of a shingle, drawn has one byte of each sample. A task leaves out a document
+    when it has met the same words under a smaller identifier.
     """
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest: dict[int, int] = {}
         for batch in batches:
             ids = batch.column("id").to_pylist()
             place = 0
             for texts in passes([t or "" for t in batch.column("text").to_pylist()]):
                 hashes, counts, whole = shingle_hashes(texts)
+                fresh = np.zeros(len(texts), bool)
+                for i, words in enumerate(whole.tolist()):
+                    fresh[i] = ids[place + i] < smallest.get(words, 1 << 63)
+                    if fresh[i]:
+                        smallest[words] = ids[place + i]
+                if len(smallest) > REMEMBERED:
+                    smallest.clear()
                 found = [(i, samples(h, w), float(np.sum(w, dtype=np.float64))) for i, (h, w) in
-                         enumerate(weighted_sets(hashes, counts, shared.value)) if len(h)]
+                         enumerate(weighted_sets(hashes, counts, shared.value)) if len(h) and fresh[i]]
                 rows = [i for i, _, _ in found]
                 if rows:
                     values = np.stack([s for _, s, _ in found]).view(np.uint32).astype(np.uint64).reshape(-1, BANDS, ROWS)

@@ -149,3 +149,25 @@ def test_tile_pairs_counts_repeated_shingles():
     c = (np.array([1, 2, 3], np.uint64), np.array([1, 1, 1], np.float32))
     i, j = M.tile_pairs([a, b, c], idf, np.arange(3), np.arange(3), np.arange(3), 0.8)
     assert set(zip(i.tolist(), j.tolist())) == {(0, 1), (1, 0)}
+
+
+def test_unlike_texts_of_any_length_share_no_samples():
+    rng = np.random.default_rng(6)
+    for n in (50, 5_000, 100_000):
+        sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for _ in range(3)]
+        drawn = [M.samples(s, np.ones(n, np.float32)) for s in sets]
+        assert max((drawn[a] == drawn[b]).sum() for a, b in ((0, 1), (0, 2), (1, 2))) < 5
+
+
+def test_samples_agree_as_often_as_weighted_sets_do():
+    rng = np.random.default_rng(7)
+    for n in (60, 600, 20_000):
+        shares, want = [], []
+        for _ in range(30):
+            hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            weights = rng.choice([0.5, 0.7, 1, 2, 6], n).astype(np.float32)
+            other = np.where(rng.random(n) < 0.15, rng.choice([0.5, 1, 3], n), weights).astype(np.float32)
+            shares.append((M.samples(hashes, weights) == M.samples(hashes, other)).mean())
+            want.append(np.minimum(weights, other).sum() / np.maximum(weights, other).sum())
+        # 3,000 draws, four standard deviations
+        assert abs(np.mean(shares) - np.mean(want)) < 4 * 0.5 / np.sqrt(3_000)

@@ -3,12 +3,13 @@
 A text is the weighted set of its five-word shingles, a shingle's weight its count in the text times its
 inverse document frequency. That is augmented: a shingle of every document weighs half of a unique one. So
 copies in large groups, whose common shingles are frequent just because of the group, still reach the
-threshold. Frequencies are counted over all documents in 2 ** 20 hashed slots, a table of
-fixed size that is summed in rounds of 64 parts and is the only thing that reaches the driver. Improved
-consistent weighted sampling draws 100 samples of each set, alike with the probability of the weighted
-Jaccard similarity of two sets; bands of five make 20 bucket keys (two texts of similarity 0.8 miss each
-other with a probability of 0.0004). Random numbers belong to
-the pair of shingle and sample, so long texts without common shingles share no samples.
+threshold; shingles of less than a thousandth of the documents all weigh 1. Frequencies are counted over all
+documents in 2 ** 20 hashed slots, a table of fixed size that is summed in rounds of 64 parts and is the only
+thing that reaches the driver. What other shingles add to a slot on average is taken off again; a rare shingle
+counts as frequent only where it meets a frequent one in its slot. Improved consistent weighted sampling draws
+100 samples of each set, alike with the probability of the weighted Jaccard similarity of two sets; bands of
+five make 20 bucket keys (two texts of similarity 0.8 miss each other with a probability of 0.0004). Random
+numbers belong to the pair of shingle and sample, so long texts without common shingles share no samples.
 
 Texts of the same words are first reduced to one. In each bucket the member with the most frequent
 shingles, the middle of a group, is compared with all others: no pairs within groups are listed. Members of
@@ -19,7 +20,9 @@ no more than rows. Every link is verified by the exact weighted Jaccard similari
 alone rule out the threshold are not compared. Tables between the steps lie in the shared folder.
 
 Result: component_id, the smallest identifier of the row's component. Null and empty texts have no shingles
-and link with nothing, nor do rows without identifier. Rows that share an identifier count as one document.
+and link with nothing, nor do rows without identifier. Rows that share an identifier count as one document,
+with the smallest component of their texts; where duplicates are dropped they go together, and if they stay,
+one row of each of their texts does.
 Columns of the input named like an output column are replaced by it. An empty table gives an empty result.
 """
 
@@ -41,6 +44,8 @@ from heliopanel.llm.shingles import mixed, passes, shingle_hashes, weighted_sets
 
 OUTPUT = ("component_id", "kept")
 SLOTS, PART = 1 << 20, 4096
+#: Shingles of a smaller share of the documents weigh alike.
+RARE = 0.001
 BANDS, ROWS = 20, 5
 FAN_IN = 64
 #: Texts of a block, and shingles compared at once, where clusters are compared.
@@ -92,8 +97,19 @@ def unpacked(value: bytes) -> np.ndarray:
     return counts
 
 
+def slot_weights(slots: np.ndarray, documents: int) -> np.ndarray:
+    """Augmented inverse document frequency of each slot: 0.5 + 0.5 min(1, ln((documents + 1) / (n + 1)) / ln(least + 2)).
+
+    n is the slot's count less the mean count of a slot, which is what other shingles add to it; least is the number of
+    documents, 1 / RARE at most. So the weights depend on shares of documents and stay as they are when the input grows.
+    """
+    n = np.clip(np.rint(slots - slots.sum() / len(slots)), 1, max(documents, 1))
+    share = np.log((documents + 1) / (n + 1)) / np.log(min(documents, 1 / RARE) + 2)
+    return (0.5 + 0.5 * np.clip(share, 0, 1)).astype(np.float32)
+
+
 def inverse_frequencies(counted: DataFrame) -> np.ndarray:
-    """Augmented inverse document frequency of each slot: 0.5 + 0.5 ln((documents + 1) / (with the slot + 1)) / ln(documents + 1)."""
+    """Weight of each slot."""
     parts = counted.where(F.col("part").isNotNull()).select("part", "task", "counts")
     most = parts.agg(F.max("task")).first()[0] or 0
 
@@ -110,8 +126,7 @@ def inverse_frequencies(counted: DataFrame) -> np.ndarray:
     for row in parts.collect():  # SLOTS / PART rows at most
         slots[row["part"] * PART:(row["part"] + 1) * PART] = unpacked(row["counts"])
     documents = counted.where(F.col("digest").isNotNull()).count()
-    share = np.log((documents + 1) / (np.minimum(slots, documents) + 1)) / np.log(documents + 2)
-    return (0.5 + 0.5 * share).astype(np.float32)
+    return slot_weights(slots, documents)
 
 
 @lru_cache(maxsize=1)
@@ -405,9 +420,11 @@ def minhash_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", thr
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """One row of each component, with the columns of the input; rows without identifier stay."""
+    """One document of each component, with the columns of the input; rows without identifier stay."""
     gone = near_duplicates(df, text, id_col, threshold).select(F.col("id").alias("_gone"))
-    packed = df.select(F.struct("*").alias("row"), col(id_col).alias("id"))
+    others = [c for c in df.columns if c not in (id_col, text) and "map<" not in df.schema[c].dataType.simpleString()]
+    order = F.xxhash64(F.lit(0), *[col(c) for c in others])
+    packed = df.select(F.struct("*").alias("row"), col(id_col).alias("id"), col(text).alias("text"), order.alias("order"))
     stay = packed.join(gone, F.col("id") == F.col("_gone"), "left_anti")
-    return (stay.where(F.col("id").isNotNull()).dropDuplicates(["id"]).unionByName(stay.where(F.col("id").isNull()))
-            .select("row.*"))
+    one = stay.where(F.col("id").isNotNull()).groupBy("id", "text").agg(F.min_by("row", "order").alias("row"))
+    return one.select("row").unionByName(stay.where(F.col("id").isNull()).select("row")).select("row.*")

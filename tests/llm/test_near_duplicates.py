@@ -171,3 +171,22 @@ def test_samples_agree_as_often_as_weighted_sets_do():
             want.append(np.minimum(weights, other).sum() / np.maximum(weights, other).sum())
         # 3,000 draws, four standard deviations
         assert abs(np.mean(shares) - np.mean(want)) < 4 * 0.5 / np.sqrt(3_000)
+
+
+def test_weights_do_not_depend_on_the_number_of_shingles():
+    rng = np.random.default_rng(8)
+    frequent = np.arange(0, M.SLOTS, 64)
+    for documents in (13_000_000, 1_300_000_000):
+        slots = rng.poisson(documents * 400 / M.SLOTS, M.SLOTS)
+        slots[frequent] += documents // 100
+        weights = M.slot_weights(slots, documents)
+        rare = np.delete(weights, frequent)
+        assert np.abs(rare - 1).max() < 0.01
+        assert np.abs(weights[frequent] - (0.5 + 0.5 * math.log(100) / math.log(1002))).max() < 0.01
+
+
+def test_rows_of_one_identifier(spark):
+    first, second = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(9, first, 1), (9, second, 1), (9, second, 2), (11, "u v w x y z a b c", 1)]
+    out = [M.drop_near_duplicates(spark.createDataFrame(rows[::step], "doc_id long, text string, extra int")).collect() for step in (1, -1)]
+    assert sorted(out[0]) == sorted(out[1]) and sorted((r.doc_id, r.text) for r in out[0]) == [(9, first), (9, second), (11, rows[3][1])]

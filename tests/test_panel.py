@@ -173,3 +173,38 @@ def test_no_task_receives_a_whole_long_series(spark):
     assert sizes[0] == 668 and sizes[1] >= 40
     bad = W.add_lags(panel, "y", [168]).filter("pos >= 168 and lag_168 <> y - 168").count()
     assert bad == 0
+
+
+def test_many_lags_need_no_window_function_each(spark, data):
+    """Over small Arrow batches: 24 lags and the array of them, no window of lags or lists in their plans."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        df, frame = data
+        panel, steps = W.Panel(df, ["plant"], chunk_rows=30), range(1, 25)
+        lagged, arrays = W.add_lags(panel, "y", steps), W.add_lag_array(panel, "y", 24)
+        for found in (lagged, arrays):
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "lag(" not in plan and "collect_list" not in plan
+        both = {(r["plant"], r["ts"]): r for r in lagged.collect()}
+        for r in arrays.collect():
+            own = both[r["plant"], r["ts"]]
+            assert [own[f"lag_{k}"] for k in range(len(r["lags"]), 0, -1)] == r["lags"]
+            assert all(own[f"lag_{k}"] is None for k in range(len(r["lags"]) + 1, 25))
+        shifted = frame.groupby("plant").y.shift(24)
+        want = {(p, t): v for p, t, v in zip(frame.plant, frame.ts, shifted)}
+        assert all((v is None and np.isnan(want[key])) or v == want[key] for key, v in ((k, r["lag_24"]) for k, r in both.items() if k[0] is not None))
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_units_of_arrays_equal_the_row_expression(spark):
+    from heliopanel.functions import scale as C
+
+    lists = [[1.00005, -2.00005, 3.0], [], None, [1.0, None], [float("nan")], [float("inf"), 1.0], [1e18]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<double>").repartition(1)
+    plain = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + C.to_units(x, 4))
+    assert all(r["a"] == r["b"] for r in df.select(plain.alias("a"), C.units_of_array(F.col("v"), 4).alias("b")).collect())
+    wide = spark.createDataFrame([(1, 1.5, None), (2, float("nan"), -2.5), (3, None, None)], "i int, a double, b double")
+    assert sorted(map(tuple, C.weighted_units(wide, ["a", "b"], 4, ["i"]).collect())) == [(1, 15_000, 1), (2, -50_000, 2), (3, 0, 0)]

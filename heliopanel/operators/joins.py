@@ -133,7 +133,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _near_boxes(boxes: Column) -> Column:
-    """Those cells of an array of boxes that can hold the station nearest to (x, y, z)."""
+    """Of an array of boxes the least distance within which (x, y, z) is sure of a station, `reach`, and the `cells` not
+    farther than that, each with its `least` distance."""
 
     def square(gaps: list[Column]) -> Column:
         return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
@@ -144,7 +145,8 @@ def _near_boxes(boxes: Column) -> Column:
         F.sqrt(square([F.greatest(F.col(c) - b[f"min_{c}"], b[f"max_{c}"] - F.col(c)) for c in ("x", "y", "z")])).alias("most")))
     return _let(bounds, lambda found: _let(
         F.aggregate(found, F.lit(4.0), lambda least, b: F.least(least, b["most"])),
-        lambda reach: F.transform(F.filter(found, lambda b: b["least"] <= reach + SLACK), lambda b: b["cell"])))
+        lambda reach: F.struct(reach.alias("reach"), F.transform(F.filter(found, lambda b: b["least"] <= reach + SLACK), lambda b: F.struct(
+            b["cell"].alias("cell"), b["least"].alias("least"))).alias("cells"))))
 
 
 def _nearest_in_pyramid(places: DataFrame, stations: DataFrame, entry: Column, most_top: int, most_leaf: int) -> DataFrame:
@@ -171,13 +173,15 @@ def _nearest_in_pyramid(places: DataFrame, stations: DataFrame, entry: Column, m
         leaf += STEP_BITS
 
     coarse = _boxes(stations.withColumn("cell", _cell(top)), "cell").agg(F.collect_list("box").alias("boxes")).scalar()
-    open_cells = unit_vector(places).withColumn("_boxes", coarse).select("lat", "lon", "x", "y", "z", F.explode(_near_boxes(F.col("_boxes"))).alias("cell"))
+    place = ["lat", "lon", "x", "y", "z"]
+    open_cells = unit_vector(places).withColumn("_boxes", coarse).select(*place, F.explode(_near_boxes(F.col("_boxes"))["cells"]["cell"]).alias("cell"))
     for bits in range(top + STEP_BITS, leaf + 1, STEP_BITS):
         below = (_boxes(stations.select("x", "y", "z", _cell(bits - STEP_BITS).alias("above"), _cell(bits).alias("below")), "below", "above")
                  .groupBy(F.col("above").alias("cell")).agg(F.collect_list("box").alias("_boxes")))
-        # A place with one open cell, the usual case, still needs the least corner over all its boxes.
-        open_cells = (open_cells.join(below, "cell").groupBy("lat", "lon", "x", "y", "z").agg(F.flatten(F.collect_list("_boxes")).alias("_boxes"))
-                      .select("lat", "lon", "x", "y", "z", F.explode(_near_boxes(F.col("_boxes"))).alias("cell")))
+        # Each open cell first leaves what it can by itself, so that no boxes travel; then the least reach of all counts.
+        near = open_cells.join(below, "cell").select(*place, _near_boxes(F.col("_boxes")).alias("_near"))
+        near = near.groupBy(*place).agg(F.min("_near.reach").alias("_reach"), F.flatten(F.collect_list("_near.cells")).alias("_cells"))
+        open_cells = near.select(*place, "_reach", F.inline("_cells")).where(F.col("least") <= F.col("_reach") + SLACK).select(*place, "cell")
     packed = stations.groupBy(_cell(leaf).alias("cell")).agg(F.collect_list(entry).alias("_stations"))
     return (open_cells.join(packed, "cell").select("lat", "lon", _nearest_of(F.col("_stations")).alias("_near"))
             .groupBy("lat", "lon").agg(F.min("_near").alias("best")))

@@ -110,10 +110,11 @@ def extras_of(origin: np.ndarray) -> np.ndarray:
 def lagged_products(u: np.ndarray, m: int, length: int) -> np.ndarray:
     """Sums over m consecutive windows of the product of places i <= j, exact for whole numbers."""
     out = np.zeros((length, length), np.int64)
-    for k in range(length):
-        total = np.concatenate([[0], (u[:len(u) - k] * u[k:]).cumsum()])
-        i = np.arange(length - k)
-        out[i, i + k] = total[m + i] - total[i]
+    out[0] = np.correlate(u[:m + length - 1], u[:m], "valid")
+    # One place on in both, the sum gains the product behind the last window and loses the first.
+    change = np.outer(u[m:m + length - 1], u[m:m + length - 1]) - np.outer(u[:length - 1], u[:length - 1])
+    for i in range(1, length):
+        out[i, i:] = out[i - 1, i - 1:-1] + change[i - 1, i - 1:]
     return out
 
 

@@ -209,3 +209,12 @@ def test_unpivot_keeps_every_cell(spark):
     df = spark.createDataFrame([(1, 1.0, "2"), (2, None, "x")], "id int, `1시` double, `2시(kWh)` string")
     got = rows(reshape.melt_hours(df, ["id"], ["1시", "2시(kWh)"]), "id", "hour_label")
     assert got == [(1, "1시", "1.0"), (1, "2시(kWh)", "2"), (2, "1시", None), (2, "2시(kWh)", "x")]
+
+
+def test_boxes_do_not_travel_with_places(spark):
+    """Between two levels of the pyramid a place takes cells along, not the boxes below them."""
+    rows = [(i, f"s{i}", 33 + (i * 37 % 500) / 100, 126 + (i * 53 % 350) / 100, i) for i in range(400)]
+    s = spark.createDataFrame(rows, "station long, station_name string, lat double, lon double, ord long")
+    p = spark.createDataFrame([(i, 30 + i / 7, 120 + i / 5) for i in range(60)], "site long, lat double, lon double")
+    plan = J.nearest_station(p, s, inline_stations=20, leaf_stations=8)._jdf.queryExecution().analyzed().toString()
+    assert "collect_list(_near" in plan and "collect_list(_boxes" not in plan

@@ -9,6 +9,8 @@ from heliopanel.session import shared_folder as shared_path
 
 #: The white space that separates words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Narrow rows that are worth a task of their own.
+TASK_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,10 +50,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the cluster's shared folder and read back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write to the cluster's shared folder and read back: cuts the lineage and survives lost executors.
+
+    `rows` is about the number of rows of a narrow table, where it is known: a small one is written by few tasks, a
+    large one by as many as without it.
+    """
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

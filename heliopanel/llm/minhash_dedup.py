@@ -220,7 +220,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b, linked) for pairs (a, b), by their whole texts."""
+    """(a, b, linked) for pairs (a, b), by their whole texts; one row for each two texts of identifiers that have several."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     with_b = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
@@ -243,20 +243,20 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
                 linked = [jaccard(last[x], last[y]) >= threshold for x, y in zip(left, right)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def repeated_keys(members: DataFrame) -> DataFrame:
-    """The members whose key more than one member has."""
+def repeated_keys(members: DataFrame, rows: int) -> DataFrame:
+    """The members, about `rows`, whose key more than one member has."""
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return stored(members.join(shared, "key"))
+    return stored(members.join(shared, "key"), rows)
 
 
-def unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members with their component, of those keys whose members lie in different components."""
+def unsettled(members: DataFrame, joined: DataFrame, rows: int) -> DataFrame:
+    """Members, about `rows`, with their component, of those keys whose members lie in different components."""
     placed = members.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(placed.join(keys, "key"))
+    return stored(placed.join(keys, "key"), rows)
 
 
 def tile_pairs(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, first: np.ndarray, second: np.ndarray,
@@ -331,8 +331,9 @@ def likely_clusters(members: DataFrame, joined: DataFrame, signed: DataFrame, th
 
     Two texts of similarity 0.8 agree in 80 of 100 samples, give or take 4; 60 are asked for.
     """
+    rows = members.count()
     least = members.groupBy("key").agg(F.min("id").alias("low"))
-    clusters = stored(components(members.join(least, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    clusters = components(members.join(least, "key").where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), rows=rows)
     n = BANDS * ROWS
     enough = n * (threshold - 0.2)
 
@@ -355,7 +356,7 @@ def likely_clusters(members: DataFrame, joined: DataFrame, signed: DataFrame, th
         return rooted(tile, np.concatenate(found_i), np.concatenate(found_j))
 
     tiles = blocked(clusters, joined, signed.select("id", "weight", "drawn"), SAMPLE_BLOCK)
-    return stored(components(tiles.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")))
+    return components(tiles.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long"), rows=rows)
 
 
 def cluster_links(clusters: DataFrame, joined: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -376,19 +377,20 @@ def cluster_links(clusters: DataFrame, joined: DataFrame, docs: DataFrame, idf:
 def candidate_links(signed: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Components (node, component) of the links."""
     close = F.least("weight", "weight_a") >= F.greatest("weight", "weight_a") * (threshold - 1e-6)
-    members = repeated_keys(signed.select(F.explode("bands").alias("key"), "id", "weight", "rarity"))
+    members = repeated_keys(signed.select(F.explode("bands").alias("key"), "id", "weight", "rarity"), BANDS * signed.count())
+    rows = members.count()
     # Only texts that share a bucket are read again.
     docs = stored(docs.join(members.select("id").distinct(), "id", "left_semi"))
     # A text of frequent shingles lies in the middle of a group, so it is the one to compare the others with.
     middle = F.min(F.struct("rarity", F.col("id").alias("id_a"), F.col("weight").alias("weight_a"))).alias("middle")
     heads = members.groupBy("key").agg(middle).select("key", "middle.id_a", "middle.weight_a")
     pairs = members.join(heads, "key").where("id <> id_a").where(close)
-    pairs = stored(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct())
-    joined = stored(components(verified(pairs, docs, idf, threshold).where("linked")))
+    pairs = stored(pairs.select(F.least("id", "id_a").alias("a"), F.greatest("id", "id_a").alias("b")).distinct(), rows)
+    joined = components(verified(pairs, docs, idf, threshold).where("linked"), rows=pairs.count())
     # What lies in one bucket and not in one component may still be linked to others than the middle.
-    clusters = likely_clusters(unsettled(members, joined), joined, signed, threshold)
+    clusters = likely_clusters(unsettled(members, joined, rows), joined, signed, threshold)
     links = cluster_links(clusters, joined, docs, idf, threshold)
-    return stored(components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    return components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), rows=rows)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:

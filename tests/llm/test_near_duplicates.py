@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heliopanel.llm import graph
 from heliopanel.llm import minhash_dedup as M
 from heliopanel.llm.embedding_dedup import embedding_dedup, quantised
 from heliopanel.llm.graph import components
@@ -35,6 +36,49 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Bucket heads with their members, chains, repeated and reversed links and loops: few tables are written, small ones by few tasks."""
+    rng = np.random.default_rng(3)
+    pairs = [(int(h), int(m)) for h, m in zip(rng.integers(0, 40, 900), rng.integers(0, 900, 900))]
+    pairs += [(i + 1, i) for i in range(1000, 1300)] + [(i, 1900) for i in range(1400, 1900)] + pairs[:50] + [(1950, 1950)]
+    want = closed(2000, pairs)
+    files, store = [], graph.stored
+
+    def counted(df, *rows):
+        out = store(df, *rows)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for key, value in zip(keys, ("false", "24")):
+            spark.conf.set(key, value)
+        links = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(6)
+        found = components(links)
+        got = {r.node: r.component for r in found.collect()}
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+    assert got == {i: want[i] for i in {i for p in pairs if p[0] != p[1] for i in p}}
+    assert len(files) <= 2 and files[-1] == 1
+
+
+@pytest.mark.parametrize("share", [8, 64])
+def test_components_of_many_small_tasks(spark, monkeypatch, share):
+    """Tasks that hold few links at once, and more rounds for them."""
+    monkeypatch.setattr(graph, "TASK_ROWS", share)
+    whole = graph.contracted
+    monkeypatch.setattr(graph, "contracted", lambda links: whole(links, share))
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 500, (400, 2))] + [(i, i + 1) for i in range(600, 800)] + [(i, 1200) for i in range(900, 1200)]
+    want = closed(1201, pairs)
+    for rows in (None, len(pairs)):
+        got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), rows=rows).collect()}
+        assert all(got.get(i, i) == want[i] for i in range(1201))
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 16))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,30 @@ def test_exact_modes(spark):
 def test_scale_summary_skips_non_finite(spark):
     row = Q.scale_summary(table(spark, [1.0, float("inf"), 5.0, None, 3.0]), "v").first()
     assert (row["min"], row["q50"], row["max"]) == (1.0, 3.0, 5.0)
+
+
+def test_many_columns_are_exact_without_a_sketch_each(spark, monkeypatch):
+    """Whole batches; an aggregate function for each column took most of the time of a fit."""
+    def never(*_):
+        raise AssertionError("one sketch a column")
+
+    monkeypatch.setattr(Q.F, "percentile_approx", never)
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 60, 20_000):
+        x = rng.normal(size=(n, 20))
+        x[:, 1], x[:, 2], x[::3, 3], x[:, 4], x[:, 5] = np.round(x[:, 1]), 7, np.nan, np.nan, np.exp(8 * x[:, 5])
+        df = spark.createDataFrame(pa.table({f"c{i}": x[:, i] for i in range(20)})).repartition(5)
+        wanted = {**{f"m{i}": (f"c{i}", 0.5) for i in range(20)}, "p": ("c0", 0.95), "top": ("c0", 1.0), "low": ("c5", 0.0)}
+        got = Q.quantiles_exact(df, wanted)
+        for name, (column, q) in wanted.items():
+            values = x[:, int(column[1:])]
+            values = values[~np.isnan(values)]
+            assert got[name] == (pytest.approx(float(np.quantile(values, q)), rel=1e-12) if len(values) else None), (n, name)
+    assert Q.quantiles_exact(df.limit(0), wanted)["p"] is None
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_bracket", lambda points, ranks, goal, margin: (5.0, 6.0) if margin < 1 else (-np.inf, np.inf))
+    x = np.random.default_rng(1).normal(size=(500, 17))
+    got = Q.quantiles_exact(spark.createDataFrame(pa.table({f"c{i}": x[:, i] for i in range(17)})), {f"c{i}": (f"c{i}", 0.5) for i in range(17)})
+    assert got == {f"c{i}": pytest.approx(np.median(x[:, i])) for i in range(17)}

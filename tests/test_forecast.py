@@ -148,3 +148,37 @@ def test_validation_split(spark):
     df = spark.createDataFrame(solar(24 * 10, ("a",)), SCHEMA)
     fit, check = X.split_last_days(df)
     assert check.count() == 169 and fit.count() == 24 * 10 - 169
+
+
+def test_vectors_equal_the_feature_columns(spark):
+    """Lists made from narrow rows hold what the wide table has; only the narrow rows are kept."""
+    rows = solar(60, ("a", "b")) + solar(3, ("c",)) + [(START + dt.timedelta(hours=70 + h), "a", None if h == 5 else float(h)) for h in range(30)] + [(START, None, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = [*PF.CALENDAR, *X.lag_names(6), *X.roll_names((4, 8))]
+    late = F.col("ts") >= F.lit(START + dt.timedelta(hours=20)).cast("timestamp_ntz")
+    wide = X.panel_features(df, keys=["plant"], lag_max=6, windows=(4, 8)).filter(X.history_complete_filter(6)).filter(late)
+    want = {(r.plant, r.ts): (r.mwh, [None if r[c] is None else float(r[c]) for c in names]) for r in wide.collect()}
+    vectors = X.PanelVectors(df, names, keys=["plant"], lag_max=6, windows=(4, 8))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for size in ("10000", "3"):
+            spark.conf.set(batch, size)
+            got = {(r.plant, r.ts): (r.mwh, [None if math.isnan(v) else v for v in r.features]) for r in vectors.filter(late).collect()}
+            assert got == want and len(want) == 2 * 40 + 30 - 6
+    finally:
+        spark.conf.set(batch, before)
+    assert all(c in ("plant", "ts", "mwh", "pos", "n", "_at", "_own") or c.startswith("roll_") for c in vectors.rows.columns)
+    assert vectors.filter().count() == X.panel_features(df, keys=["plant"], lag_max=6, windows=(4, 8)).filter(X.history_complete_filter(6)).count()
+    vectors.rows.unpersist()
+
+
+def test_search_reads_its_table_once_a_level(spark, monkeypatch):
+    """The trees of all trials grow in the same passes."""
+    from heliopanel.forecast import boosting as B
+
+    calls = []
+    summed = B._Binned.summed
+    monkeypatch.setattr(B._Binned, "summed", lambda *a: calls.append(1) or summed(*a))
+    M.tune(assembled(spark, solar(24 * 6)), "check", trials=4, local_rows=0)
+    assert len(calls) <= (1 + 1 + 2) * (8 + 1)
